@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -58,3 +58,18 @@ def text_or_empty(column: str = "text") -> Column:
 def uniform(*key: Column) -> Column:
     """A number in [0, 1) from the 53 upper bits of a hash of ``key``."""
     return F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") * F.lit(2.0**-53)
+
+
+def spread_rank(rows: DataFrame, group: list[str], n_col: str, order: list[str], per_bucket: int = 4096) -> DataFrame:
+    """Adds ``rank``, from 0 and gapless within ``group``, whose number of rows is in ``n_col``.
+
+    Rows of a group fall into hash buckets of about ``per_bucket``; a rank is the rows of lower buckets plus the place
+    in the own bucket, so that no group, however large, meets in one task. Group columns must not be null.
+    """
+    bucketed = rows.withColumn("rank_bucket", F.floor(uniform(*map(F.col, order), F.lit(11)) * F.ceil(F.col(n_col) / per_bucket)))
+    keys = [*group, "rank_bucket"]
+    below = Window.partitionBy(*group).orderBy("rank_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rank_n"))
+    counts = counts.select(*keys, F.coalesce(F.sum("rank_n").over(below), F.lit(0)).alias("rank_before"))
+    own = Window.partitionBy(*keys).orderBy(*order)
+    return bucketed.join(counts, keys).withColumn("rank", F.col("rank_before") + F.row_number().over(own) - 1).drop("rank_bucket", "rank_before")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _dedup
+from . import mixing as _mixing
+from . import packing as _packing
 from . import sharding as _sharding
 
 
@@ -19,13 +21,23 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.plan_mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 _MAGLEV = f"""
