@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import exact_dedup as _dedup
 from . import mixing as _mixing
 from . import packing as _packing
+from . import secret_scan as _secrets
 from . import sharding as _sharding
+from . import simhash as _simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return _secrets.scan_secrets(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in _secrets.KINDS),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -35,9 +52,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 _MAGLEV = f"""
