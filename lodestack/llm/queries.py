@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import exact_dedup as _dedup
 from . import mixing as _mixing
 from . import packing as _packing
+from . import quality as _quality
 from . import secret_scan as _secrets
 from . import sharding as _sharding
 from . import simhash as _simhash
@@ -42,6 +43,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.plan_mix(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
