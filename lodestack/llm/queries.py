@@ -14,6 +14,7 @@ from . import quality as _quality
 from . import secret_scan as _secrets
 from . import sharding as _sharding
 from . import simhash as _simhash
+from . import warc as _warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = _warc.archive_and_index(_table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "intact")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
+    "op6_warc": op6_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
@@ -84,6 +91,18 @@ SELECT doc_id, keyed.slot, shard::INTEGER AS shard FROM keyed JOIN claims ON cla
 
 ORACLES: dict[str, str] = {
     "op2_sharding": _MAGLEV,
+    "op6_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        g AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first_id FROM p),
+        u AS (SELECT *, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS host,
+                     regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM g)
+        SELECT page_id, n::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+               CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+               array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE lower(path) END
+                 || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key,
+               strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured, true AS intact
+        FROM u""",
     "op7_exact_dedup": """
         WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
