@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _dedup
+from . import html_extract as _html
 from . import mixing as _mixing
 from . import packing as _packing
 from . import quality as _quality
@@ -40,6 +41,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
+    "op4_html_extract": op4_html_extract,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_exact_dedup": op7_exact_dedup,
