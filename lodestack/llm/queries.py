@@ -16,12 +16,17 @@ from . import secret_scan as _secrets
 from . import sharding as _sharding
 from . import simhash as _simhash
 from . import warc as _warc
+from . import weighted_sampling as _cws
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cws.fingerprint(_table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
@@ -67,6 +72,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weighted_sampling": op1_weighted_sampling,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_html_extract": op4_html_extract,
