@@ -118,3 +118,13 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def keep_unique(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """One document of each group of equal texts, with the columns of ``docs``; repeated rows come out once."""
+    kept = exact_dedup(docs, keep).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    digest = F.sha2(text_or_empty(), 256)
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (digest == kept["kept_sha"]), "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    return rows.withColumn("kept_sha", digest).dropDuplicates(["doc_id", "kept_sha"]).drop("kept_sha")

@@ -122,7 +122,7 @@ def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     return Model(mean, scale, weights[0], weights[1], weights[2], float(weights[3][0]), prior)
 
 
-def train(feats: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED, seed: int = SEED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED, seed: int = SEED) -> Model:
     """Fits on at most ``positives`` labelled good rows and ``unlabelled`` rows, those first in a seeded order.
 
     Rows held out (see ``is_held_out``) are not used at all. The prior is the share of good rows among the labelled.
@@ -132,27 +132,28 @@ def train(feats: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, u
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = shares.get(1, 0), shares.get(0, 0)
     prior = float(np.clip(good / (good + bad), *PRIOR_BOUNDS)) if good and bad else DEFAULT_PRIOR
-    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("x")]
-    usable = feats.where(~is_held_out())
-    take = lambda rows, n: np.array([r["x"] for r in rows.orderBy(*order).limit(n).select("x").collect()], float).reshape(-1, FEATURES)
-    p = take(usable.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), positives)
-    u = take(usable, unlabelled)
+    ids = docs.select("doc_id").where(~is_held_out() & F.col("doc_id").isNotNull()).distinct()
+    first = lambda rows, n, part: rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n).select(F.col("doc_id").alias("fit_id"), F.lit(part).alias("part"))
+    chosen = first(ids.join(known.where("quality = 1"), "doc_id", "left_semi"), positives, 1).unionByName(first(ids, unlabelled, 0))
+    chosen = materialise(chosen.groupBy("fit_id").agg(F.max("part").alias("good"), F.min("part").alias("least")), "quality-sample")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen.select("fit_id")), F.col("doc_id") == F.col("fit_id")).select("doc_id", "text")
+    rows = features(texts).groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(chosen), F.col("doc_id") == F.col("fit_id")).select("doc_id", "x", "good", "least").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    p, u = (np.array([r["x"] for r in rows if wanted(r)], float).reshape(-1, FEATURES) for wanted in (lambda r: r["good"] == 1, lambda r: r["least"] == 0))
     if not len(p) or not len(u):
         zero = np.zeros(FEATURES)
         return Model(zero, zero + 1, np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(prior / (1 - prior))), prior)
     return fit_non_negative(p, u, prior, seed)
 
 
-def score(feats: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row of ``feats``."""
-    kind = feats.schema["doc_id"].dataType.simpleString()
+def rate(model: Model):
+    """A function over a text column that gives its score."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array(batch["x"].tolist(), float).reshape(-1, FEATURES)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.score(x)})
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([text_features(t) for t in texts], float).reshape(-1, FEATURES)))
 
-    return feats.mapInPandas(run, f"doc_id {kind}, score double")
+    return scores
 
 
 def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
@@ -161,18 +162,10 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     Null text is empty text, which is scored too. A null id is never held out. Repeated rows get equal scores. Only
     text enters a score. An empty table gives an empty result.
     """
-    feats = materialise(features(docs), "quality-features")
-    scored = score(feats, train(feats, labels, seed=seed))
+    scored = docs.select("doc_id", rate(train(docs, labels, seed=seed))(text_or_empty()).alias("score"))
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that score at least one half, with the columns of ``docs``."""
-    model = train(materialise(features(docs), "quality-features"), labels, seed=seed)
-
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        x = np.array([text_features(t) for t in texts], float).reshape(-1, FEATURES)
-        return pd.Series(model.score(x))
-
-    return docs.where(rate(text_or_empty()) >= 0.5)
+    return docs.where(rate(train(docs, labels, seed=seed))(text_or_empty()) >= 0.5)

@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
@@ -28,30 +28,43 @@ WORDS, MAX_BITS, PIVOTS, SEED = 3, 3, 16, 42
 PAIRED = 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANES = np.arange(8) * 256
+#: Step, and shifts and factors of a public 64-bit mixing function.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)))
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """SimHash of the shingles of a text, A-Z lower-cased; zero for a text without words."""
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED, tables: int = 1) -> np.ndarray:
+    """SimHash of the shingles of a text, A-Z lower-cased; zero for a text without words.
+
+    Further tables use hashes mixed from the first.
+    """
     found = text.encode("utf-8").lower().split()
     if not found:
-        return 0
+        return np.zeros(tables, np.int64)
     shingles = [b" ".join(found)] if len(found) < words else list(map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
-    hashed = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
-    lanes = hashed.astype(">u8").view(np.uint8).reshape(-1, 8) + _LANES
-    ones = (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every row; null text is empty."""
+    first = hashed = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
+    out = []
+    for i in range(tables):
+        if i:
+            hashed = first ^ _STEP * np.uint64(i)
+            for shift, factor in _MIX:
+                hashed = (hashed ^ hashed >> shift) * factor
+            hashed ^= hashed >> np.uint64(31)
+        lanes = hashed.astype(">u8").view(np.uint8).reshape(-1, 8) + _LANES
+        ones = (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+        out.append(np.packbits(2 * ones > len(shingles)).view(">i8")[0])
+    return np.array(out, np.int64)
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
+    """doc_id and fps (per table the fingerprint's 64 bits as a long) of every row; null text is empty."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([fingerprint(t, words, seed) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found})
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "fps": [fingerprint(t, words, seed, tables) for t in batch["text"]]})
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fps array<long>")
 
 
 def _long(value: int) -> int:
@@ -123,18 +136,45 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, bloc
     return pairs.unionByName(starred).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links), one row per row of ``docs``.
 
     Null text is empty; texts without words have fingerprint zero and link like any other. Rows without id get the
     component's smallest id too, null only if nobody there has one. Repeated rows come out as often as they went in.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored. With several ``tables`` of fingerprints texts link
+    if they do in any of them, which finds pairs that differ more.
     """
-    found = materialise(fingerprints(docs, words, SEED, id_col, text_col), "simhash-fingerprints")
+    found = fingerprints(docs, words, SEED, id_col, text_col, tables).select("doc_id", F.col("fps")[0].alias("fp"), "fps")
+    found = materialise(found, "simhash-fingerprints")
     nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "simhash-nodes")
-    roots = connected_components(links(nodes.select("fp"), max_bits))
+    edges = links(nodes.select("fp"), max_bits)
+    for i in range(1, tables):  # nodes are the first table's fingerprints; each other table's stand for the least of them
+        both = materialise(found.select("fp", F.col("fps")[i].alias("own")).distinct(), "simhash-table")
+        stand = materialise(both.groupBy("own").agg(F.min("fp").alias("stand")), "simhash-stand")
+        alike = both.join(stand, "own").where("fp <> stand").select(F.col("fp").alias("a"), F.col("stand").alias("b"))
+        pairs = links(stand.select(F.col("own").alias("fp")), max_bits)
+        for side in ("a", "b"):
+            pairs = pairs.join(stand.select(F.col("own").alias(side), F.col("stand").alias(f"stand_{side}")), side)
+        more = pairs.select(F.col("stand_a").alias("a"), F.col("stand_b").alias("b")).unionByName(alike).distinct()
+        edges = edges.unionByName(materialise(more, "simhash-links"))
+    roots = connected_components(edges)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
     lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS, tables: int = 6) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id, with the columns of ``docs``.
+
+    Rows without id stay if no row with an id is in their group. Of rows with the same id the first text stays.
+    """
+    groups = near_duplicates(docs, words, max_bits, tables=tables)
+    kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "simhash-kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        order = Window.partitionBy("doc_id").orderBy("text")
+        named = rows.where("doc_id is not null").withColumn("simhash_row", F.row_number().over(order)).where("simhash_row = 1").drop("simhash_row")
+        rows = named.unionByName(rows.where("doc_id is null"))
+    return rows
