@@ -1 +1 @@
-
+"""Relational operators over the archive model."""

@@ -1 +1 @@
-
+"""Durable intermediate tables, distributed ranks, and the registered queries."""

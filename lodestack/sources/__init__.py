@@ -1 +1 @@
-
+"""Readers and writers: archive files, trees, text lists."""

@@ -1 +1 @@
-
+"""Structured Streaming: forward-only extraction."""
