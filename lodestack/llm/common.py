@@ -55,6 +55,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (as text, so that ids pass through Python exactly, null ones too) and text (null: empty)."""
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+
 def uniform(*key: Column) -> Column:
     """A number in [0, 1) from the 53 upper bits of a hash of ``key``."""
     return F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") * F.lit(2.0**-53)

@@ -37,7 +37,7 @@ GOOD_WORDS = frozenset("article content main post entry story body text articleb
 CLASS_WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Ties: blocks that follow each other, with the same parent or not; nearest blocks with the same parent, grandparent.
-NEXT_SAME, NEXT_OTHER, SAME_PARENT, SAME_GRANDPARENT = 0.8, 0.15, 0.4, 0.2
+NEXT_SAME, NEXT_OTHER, SAME_PARENT, SAME_GRANDPARENT, OTHER_PLACE = 0.8, 0.15, 0.4, 0.2, 0.15
 
 
 @dataclass(slots=True)
@@ -173,16 +173,25 @@ def content_logit(block: Block) -> float:
 
 
 def ties(blocks: list[Block]) -> dict[tuple[int, int], float]:
-    """Smoothness edges between blocks (i < j) that follow each other or are near in the DOM."""
+    """Smoothness edges between blocks (i < j) that follow each other or are near in the DOM.
+
+    They weaken with contrast: where the places or the shares of link text differ.
+    """
     edges: dict[tuple[int, int], float] = {}
     last_parent: dict[int, int] = {}
     last_grand: dict[int, int] = {}
+
+    def tie(i: int, j: int, weight: float) -> None:
+        a, b = blocks[i], blocks[j]
+        alike = (1.0 if a.place == b.place else OTHER_PLACE) * (1.0 - abs(a.link_share - b.link_share))
+        edges[i, j] = edges.get((i, j), 0.0) + weight * max(0.0, alike)
+
     for j, b in enumerate(blocks):
         if j:
-            edges[j - 1, j] = NEXT_SAME if blocks[j - 1].parent == b.parent else NEXT_OTHER
+            tie(j - 1, j, NEXT_SAME if blocks[j - 1].parent == b.parent else NEXT_OTHER)
         for seen, key, w in ((last_parent, b.parent, SAME_PARENT), (last_grand, b.grandparent, SAME_GRANDPARENT)):
             if (i := seen.get(key)) is not None:
-                edges[i, j] = edges.get((i, j), 0.0) + w
+                tie(i, j, w)
             seen[key] = j
     return edges
 
@@ -274,7 +283,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Null or empty html gives empty text. Repeated rows come out as often as they went in; an empty table gives an empty
     result; other columns are ignored. The whole page is read, whatever its length.
     """
-    kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -282,5 +290,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = ["\n".join(b.text for b, good in f if good) for f in found]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": list(map(len, texts)), "n_blocks": list(map(len, found)), "n_content": [sum(g for _, g in f) for f in found]})
 
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return rows.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long, n_blocks long, n_content long")
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    found = rows.mapInPandas(run, "page_id string, url string, text string, n_chars long, n_blocks long, n_content long")
+    return found.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))

@@ -117,17 +117,17 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int =
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
-    plan = materialise(plan_mix(docs, weights, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows")), "mix-copies")
-    plan = plan.where("mix_copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "mix_copies", "mix_rows")
-    once, several = plan.where("mix_rows = 1"), plan.where("mix_rows > 1")
-    rows = docs.withColumn("mix_words", words_of())
+    plan = materialise(plan_mix(docs, weights, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_rows")), "mix-copies")
+    plan = plan.where("__mix_copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), "__mix_copies", "__mix_rows")
+    once, several = plan.where("__mix_rows = 1"), plan.where("__mix_rows > 1")
+    rows = docs.withColumn("__mix_words", words_of())
 
     def joined(part: DataFrame) -> DataFrame:
-        return rows.join(part, rows["doc_id"].eqNullSafe(F.col("mix_id")) & rows["source"].eqNullSafe(F.col("mix_source")) & (F.col("mix_words") == F.col("mix_size")))
+        return rows.join(part, rows["doc_id"].eqNullSafe(F.col("__mix_id")) & rows["source"].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_words") == F.col("__mix_size")))
 
-    out = joined(once).withColumn("mix_times", F.col("mix_copies"))
+    out = joined(once).withColumn("__mix_times", F.col("__mix_copies"))
     if not several.isEmpty():  # rows with the same id: their copies are dealt out in turn
-        turn = F.row_number().over(Window.partitionBy("mix_id", "mix_source", "mix_size").orderBy("text"))
-        times = F.floor(F.col("mix_copies") / F.col("mix_rows")) + (turn <= F.col("mix_copies") % F.col("mix_rows")).cast("long")
-        out = out.unionByName(joined(several).withColumn("mix_times", times).where("mix_times > 0"))
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*docs.columns)
+        turn = F.row_number().over(Window.partitionBy("__mix_id", "__mix_source", "__mix_size").orderBy("text"))
+        times = F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + (turn <= F.col("__mix_copies") % F.col("__mix_rows")).cast("long")
+        out = out.unionByName(joined(several).withColumn("__mix_times", times).where("__mix_times > 0"))
+    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).select(*docs.columns)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spread_rank, text_or_empty
+from .common import id_and_text, materialise, spread_rank
 
 #: Production parameters.
 MAX_TOKENS, END_ID = 4096, 2
@@ -98,8 +98,8 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MA
                     rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, part))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    found = id_and_text(docs, id_col, text_col).mapInPandas(pieces, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def pack_patterns(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int, list[int]]]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import id_and_text
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -135,14 +135,14 @@ def scan_secrets(docs: DataFrame, min_guesses: float = MIN_GUESSES, id_col: str
     Null and empty text have no spans. Repeated rows come out as often as they went in; an empty table gives an empty
     result; other columns are ignored. ``guesses`` is null for the fixed patterns.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [[{"kind": k, "start": a, "end": b, "guesses": g} for k, a, b, g in find_secrets(t, min_guesses)] for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": found})
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long, guesses: double>>")
+    found = id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id string, spans array<struct<kind: string, start: long, end: long, guesses: double>>")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import id_and_text, materialise
 from .components import connected_components
 
 #: Production parameters: words in a shingle, differing bits of a link, pivots, hash seed.
@@ -57,14 +57,14 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED, tables: int = 1
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
     """doc_id and fps (per table the fingerprint's 64 bits as a long) of every row; null text is empty."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "fps": [fingerprint(t, words, seed, tables) for t in batch["text"]]})
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fps array<long>")
+    found = id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id string, fps array<long>")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def _long(value: int) -> int:
@@ -171,10 +171,10 @@ def keep_first(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS, tables
     Rows without id stay if no row with an id is in their group. Of rows with the same id the first text stays.
     """
     groups = near_duplicates(docs, words, max_bits, tables=tables)
-    kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "simhash-kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lodestack_id")).distinct(), "simhash-kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__lodestack_id"]), "left_semi")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         order = Window.partitionBy("doc_id").orderBy("text")
-        named = rows.where("doc_id is not null").withColumn("simhash_row", F.row_number().over(order)).where("simhash_row = 1").drop("simhash_row")
+        named = rows.where("doc_id is not null").withColumn("__lodestack_row", F.row_number().over(order)).where("__lodestack_row = 1").drop("__lodestack_row")
         rows = named.unionByName(rows.where("doc_id is null"))
     return rows
