@@ -37,9 +37,10 @@ def sample(term: Column, log_weight: Column, k: int, seed: int = SEED) -> Column
 
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """keys, signature (array of longs) of rows keys, term (long), weight (long)."""
+    """keys, signature (array of longs) of rows keys, term (long), weight (long); rows without term draw nothing."""
     logs = terms.withColumn("log_weight", F.ln(F.col("weight").cast("double")))
-    draws = logs.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("log_weight"), k, seed)).alias(f"s{k}") for k in range(samples)))
+    draw = lambda k: F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("log_weight"), k, seed))
+    draws = logs.groupBy(*keys).agg(*(F.min(draw(k)).alias(f"s{k}") for k in range(samples)))
     return draws.select(*keys, F.array(*(F.col(f"s{k}") for k in range(samples))).alias("signature"))
 
 
