@@ -1,4 +1,4 @@
-"""Imaging archives as bytes: header, blob table, image metadata, XML and integrity table of uncompressed archives.
+"""Imaging archives as bytes: header, blob table, contents, image metadata, XML and integrity table, uncompressed or XPRESS.
 
 Files come through Spark's binary reader, so that they can be in any store; one row per file goes to a parser in
 Python, which yields the rows of the table that is asked for. A whole file is in memory at a time (2 GB at most).
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import codecs
+
 #: Fixed values of the on-disk format.
 MAGIC, PIPABLE_MAGIC, HEADER_SIZE = b"MSWIM\0\0\0", b"WLPWM\0\0\0", 208
 VERSIONS, MOST_IMAGES, MOST_DEPTH = (0x10D00, 0xE00), 65535, 16384
@@ -34,6 +36,7 @@ ENTRIES = (
 )
 INTEGRITY = "chunk_no int, chunk_size long, sha1 binary, is_intact boolean"
 XML = "xml string"
+CONTENTS = "hash binary, size long, content binary, is_intact boolean"
 
 
 class BadArchive(ValueError):
@@ -67,12 +70,19 @@ def parse_header(data: bytes) -> dict:
     }
 
 
-def stored_bytes(data: bytes, where: tuple[int, int, int, int]) -> bytes:
+def stored_bytes(data: bytes, where: tuple[int, int, int, int], header: dict | None = None) -> bytes:
+    """Bytes of a resource; a compressed one needs the header, which tells how."""
     flags, stored, offset, size = where
-    if flags & (COMPRESSED | SOLID):
-        raise BadArchive("the resource is compressed")
-    if stored != size or offset + stored > len(data):
+    if offset + stored > len(data):
         raise BadArchive("the resource lies outside the file")
+    if flags & SOLID or flags & COMPRESSED and not (header and header["flags"] & codecs.XPRESS_FLAG and header["chunk_size"]):
+        raise BadArchive("the resource is compressed in a way that isn't read here")
+    if flags & COMPRESSED:
+        if size > stored * 512:
+            raise BadArchive("the resource can't be that large")
+        return codecs.read_chunked(data[offset : offset + stored], size, header["chunk_size"])
+    if stored != size:
+        raise BadArchive("the sizes of the resource differ")
     return data[offset : offset + size]
 
 
@@ -222,7 +232,7 @@ def _entries(data: bytes, header: dict) -> Iterator[tuple]:
         if not flags & METADATA:
             continue
         image += 1
-        meta = stored_bytes(data, (flags, stored, offset, size))
+        meta = stored_bytes(data, (flags, stored, offset, size), header)
         if hashlib.sha1(meta).digest() != digest:
             raise BadArchive(f"the metadata of image {image} is damaged")
         for i, e in enumerate(parse_metadata(meta)):
@@ -230,10 +240,18 @@ def _entries(data: bytes, header: dict) -> Iterator[tuple]:
             yield (image, i, e["path"], e["name_key"], e["short_name"], e["is_directory"], e["attributes"], e["security_id"], e["descriptor"], e["created"], e["accessed"], e["written"], e["reparse_tag"], e["link_id"], e["extra"], streams)
 
 
+def _contents(data: bytes, header: dict) -> Iterator[tuple]:
+    for _, _, _, digest, size, offset, stored, flags, _ in parse_blobs(data, header):
+        if not flags & METADATA:
+            content = stored_bytes(data, (flags, stored, offset, size), header)
+            yield digest, size, content, hashlib.sha1(content).digest() == digest
+
+
 _TABLES: dict[str, tuple[str, Callable[[bytes, dict], object]]] = {
     "header": (HEADER, lambda d, h: [tuple(h[c.split()[0]] for c in HEADER.split(", "))]),
     "blobs": (BLOBS, parse_blobs),
     "entries": (ENTRIES, _entries),
+    "contents": (CONTENTS, _contents),
     "integrity": (INTEGRITY, parse_integrity),
     "xml": (XML, lambda d, h: [(parse_xml(d, h),)]),
 }
@@ -252,7 +270,7 @@ def columns_of(schema: str) -> list[str]:
 
 
 def read_archives(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of the archives at ``path``: header, blobs, entries, integrity or xml, with the file as ``archive``."""
+    """A table of the archives at ``path``: header, blobs, contents, entries, integrity or xml, with the file as ``archive``."""
     schema, parse = _TABLES[table]
     names = ["archive", *columns_of(schema)]
 
@@ -338,8 +356,16 @@ def build_xml(images: list[dict], total_bytes: int | None = None) -> str:
     return f"<WIM>{total}{inner}</WIM>"
 
 
-def build_archive(images: list[tuple[dict, list[dict], list[bytes]]], contents: list[bytes], chunk: int = INTEGRITY_CHUNK, guid: bytes | None = None, boot_index: int = 0) -> bytes:
-    """An uncompressed archive: images as (properties, entries, descriptors), and the files' contents, each stored once."""
+def build_archive(images: list[tuple[dict, list[dict], list[bytes]]], contents: list[bytes], chunk: int = INTEGRITY_CHUNK, guid: bytes | None = None, boot_index: int = 0, compress_chunk: int = 0) -> bytes:
+    """An archive: images as (properties, entries, descriptors), and the files' contents, each stored once.
+
+    With ``compress_chunk`` contents and metadata are compressed in chunks of that size where it makes them smaller.
+    """
+
+    def packed(content: bytes) -> tuple[int, bytes]:
+        small = codecs.write_chunked(content, compress_chunk) if compress_chunk else content
+        return (COMPRESSED, small) if len(small) < len(content) else (0, content)
+
     out, table = [bytes(HEADER_SIZE)], []
     at = HEADER_SIZE
     uses: dict[bytes, int] = {}
@@ -350,14 +376,16 @@ def build_archive(images: list[tuple[dict, list[dict], list[bytes]]], contents:
                     uses[digest] = uses.get(digest, 0) + 1
     for content in dict.fromkeys(c for c in contents if c):
         digest = hashlib.sha1(content).digest()
-        table.append(_BLOB.pack(pack_resource(0, len(content), at, len(content)), 1, uses.get(digest, 0), digest))
-        out.append(content)
-        at += len(content)
+        how, stored = packed(content)
+        table.append(_BLOB.pack(pack_resource(how, len(stored), at, len(content)), 1, uses.get(digest, 0), digest))
+        out.append(stored)
+        at += len(stored)
     for _, entries, descriptors in images:
         meta = build_metadata(entries, descriptors)
-        table.append(_BLOB.pack(pack_resource(METADATA, len(meta), at, len(meta)), 1, 1, hashlib.sha1(meta).digest()))
-        out.append(meta)
-        at += len(meta)
+        how, stored = packed(meta)
+        table.append(_BLOB.pack(pack_resource(METADATA | how, len(stored), at, len(meta)), 1, 1, hashlib.sha1(meta).digest()))
+        out.append(stored)
+        at += len(stored)
     blobs = b"".join(table)
     where_blobs = pack_resource(0, len(blobs), at, len(blobs))
     out.append(blobs)
@@ -369,7 +397,8 @@ def build_archive(images: list[tuple[dict, list[dict], list[bytes]]], contents:
     sums = [hashlib.sha1(body[i : i + chunk]).digest() for i in range(0, len(body), chunk)]
     integrity = struct.pack("<III", 12 + 20 * len(sums), len(sums), chunk) + b"".join(sums)
     where_integrity = pack_resource(0, len(integrity), at, len(integrity))
-    header = _HEADER.pack(MAGIC, HEADER_SIZE, VERSIONS[0], 0, 0, guid or uuid.uuid4().bytes, 1, 1, len(images), where_blobs, where_xml, bytes(24), boot_index, where_integrity)
+    flags = codecs.COMPRESSED_FLAG | codecs.XPRESS_FLAG if compress_chunk else 0
+    header = _HEADER.pack(MAGIC, HEADER_SIZE, VERSIONS[0], flags, compress_chunk, guid or uuid.uuid4().bytes, 1, 1, len(images), where_blobs, where_xml, bytes(24), boot_index, where_integrity)
     return header + body + xml + integrity
 
 
