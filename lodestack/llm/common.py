@@ -1,54 +1,16 @@
-"""Shared helpers: durable intermediate tables, the shared folder, id buckets."""
+"""Shared helpers of the operators: texts and ids, hashes, ranks; durable tables come from the library."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but ASCII white space.
-WORD_SPLIT = "[ \\x09-\\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get()
-    made = tempfile.mkdtemp(prefix="lodestack-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
+from ..plans.durable import materialise, new_path, shared_dir
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared store; does nothing if the session has ended."""
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit
-        return
+__all__ = ["WORD_SPLIT", "id_and_text", "materialise", "new_path", "shared_dir", "spread_rank", "text_or_empty", "uniform"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/lodestack/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words are runs of anything but ASCII white space.
+WORD_SPLIT = "[ \\x09-\\x0D]+"
 
 
 def text_or_empty(column: str = "text") -> Column:
