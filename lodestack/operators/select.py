@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.globs import excluded, matches_any
-from ..functions.paths import ancestors, basename, depth, fold, order_key, parent_path, under
+from ..functions.paths import ancestors, fold, order_key, parent_path, under
 
 
 def resolve_images(images: DataFrame, wanted: str) -> DataFrame:
