@@ -124,7 +124,7 @@ def keep_unique(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """One document of each group of equal texts, with the columns of ``docs``; repeated rows come out once."""
     kept = exact_dedup(docs, keep).where("kept").select(F.col("doc_id").alias("__lodestack_id"), F.col("text_sha256").alias("__lodestack_sha"))
     digest = F.sha2(text_or_empty(), 256)
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__lodestack_id"]) & (digest == kept["__lodestack_sha"]), "left_semi")
+    rows = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__lodestack_id"]) & (digest == kept["__lodestack_sha"]), "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return rows
     return rows.withColumn("__lodestack_sha", digest).dropDuplicates(["doc_id", "__lodestack_sha"]).drop("__lodestack_sha")

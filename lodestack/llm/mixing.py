@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED)
     rows = docs.withColumn("__mix_words", words_of())
 
     def joined(part: DataFrame) -> DataFrame:
-        return rows.join(part, rows["doc_id"].eqNullSafe(F.col("__mix_id")) & rows["source"].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_words") == F.col("__mix_size")))
+        return rows.join(part.hint("merge"), rows["doc_id"].eqNullSafe(F.col("__mix_id")) & rows["source"].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_words") == F.col("__mix_size")))
 
     out = joined(once).withColumn("__mix_times", F.col("__mix_copies"))
     if not several.isEmpty():  # rows with the same id: their copies are dealt out in turn

@@ -195,7 +195,7 @@ def keep_first(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS, simila
     """
     groups = near_duplicates(docs, words, max_bits, similarity=similarity)
     kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lodestack_id")).distinct(), "simhash-kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__lodestack_id"]), "left_semi")
+    rows = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__lodestack_id"]), "left_semi")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         order = Window.partitionBy("doc_id").orderBy("text")
         named = rows.where("doc_id is not null").withColumn("__lodestack_row", F.row_number().over(order)).where("__lodestack_row = 1").drop("__lodestack_row")
