@@ -29,6 +29,8 @@ WORDS, MAX_BITS, PIVOTS, SEED = 3, 3, 16, 42
 TABLES = 20
 #: Fingerprints that agree on the same blocks are compared in pairs up to this many, beyond it through neighbours.
 PAIRED = 64
+#: The same for windows of bits, where four of the fingerprints stand for all.
+WINDOW_PAIRED = 8
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANES = np.arange(8) * 256
 #: Step, and shifts and factors of a public 64-bit mixing function.
@@ -145,7 +147,8 @@ def similar_links(nodes: DataFrame, tables: int, similarity: float = 0.8) -> Dat
 
     Pairs come up if they agree on one of many windows of bits. This is a filter by chance: a pair at a similarity of 0.8
     agrees on one of 60 windows of 24 bits with a probability of 0.7, at 0.9 of 0.99. Windows widen with the number of
-    nodes. In windows that over ``PAIRED`` nodes share, each is compared with four of them instead of all.
+    nodes. In windows that over ``WINDOW_PAIRED`` nodes share, each is compared with four of them instead of all; groups of copies
+    hang together over many windows.
     """
     width = max(24, min(32, nodes.count().bit_length() + 5))
     offsets = (0, 20, 40) if width == 24 else (0, 32)
@@ -154,7 +157,7 @@ def similar_links(nodes: DataFrame, tables: int, similarity: float = 0.8) -> Dat
     rows = nodes.select("node", F.explode(F.array(*windows)).alias("window"))
     shared = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = materialise(rows.join(shared, "window"), "simhash-windows")
-    few, many = rows.where(F.col("n") <= PAIRED), rows.where(F.col("n") > PAIRED)
+    few, many = rows.where(F.col("n") <= WINDOW_PAIRED), rows.where(F.col("n") > WINDOW_PAIRED)
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, (F.col("x.window") == F.col("y.window")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     chosen = many.groupBy("window").agg(F.array(*(F.min(F.struct(F.xxhash64("node", "window", F.lit(i)).alias("h"), F.col("node").alias("node"))) for i in range(4))).alias("centres"))
