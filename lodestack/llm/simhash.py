@@ -10,7 +10,6 @@ of pairs: a value one bit from x and two bits from y joins them, which holds for
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,17 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise
+from .common import id_and_text, materialise, text_or_empty
 from .components import connected_components
+from .shingle_join import prefixes
+from .shingle_join import similar_links as shingle_links
 
 #: Production parameters: words in a shingle, differing bits of a link, pivots, hash seed.
 WORDS, MAX_BITS, PIVOTS, SEED = 3, 3, 16, 42
-#: Fingerprints of a text where a similarity is asked for.
-TABLES = 20
 #: Fingerprints that agree on the same blocks are compared in pairs up to this many, beyond it through neighbours.
 PAIRED = 64
-#: The same for windows of bits, where four of the fingerprints stand for all.
-WINDOW_PAIRED = 8
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANES = np.arange(8) * 256
 #: Step, and shifts and factors of a public 64-bit mixing function.
@@ -141,49 +138,17 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, bloc
     return pairs.unionByName(starred).distinct()
 
 
-def similar_links(nodes: DataFrame, tables: int, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) between ``nodes`` (node, fps) whose fingerprints in all tables together differ by no more bits than
-    shingle sets of that Jaccard ``similarity`` do on average.
-
-    Pairs come up if they agree on one of many windows of bits. This is a filter by chance: a pair at a similarity of 0.8
-    agrees on one of 60 windows of 24 bits with a probability of 0.7, at 0.9 of 0.99. Windows widen with the number of
-    nodes. In windows that over ``WINDOW_PAIRED`` nodes share, each is compared with four of them instead of all; groups of copies
-    hang together over many windows.
-    """
-    width = max(24, min(32, nodes.count().bit_length() + 5))
-    offsets = (0, 20, 40) if width == 24 else (0, 32)
-    most = math.ceil(64 * tables * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    windows = [F.shiftrightunsigned(F.col("fps")[t], o).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit((len(offsets) * t + i) << 32)) for t in range(tables) for i, o in enumerate(offsets)]
-    rows = nodes.select("node", F.explode(F.array(*windows)).alias("window"))
-    shared = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = materialise(rows.join(shared, "window"), "simhash-windows")
-    few, many = rows.where(F.col("n") <= WINDOW_PAIRED), rows.where(F.col("n") > WINDOW_PAIRED)
-    x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.window") == F.col("y.window")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    chosen = many.groupBy("window").agg(F.array(*(F.min(F.struct(F.xxhash64("node", "window", F.lit(i)).alias("h"), F.col("node").alias("node"))) for i in range(4))).alias("centres"))
-    centred = many.join(chosen, "window").select("node", F.explode("centres").alias("c")).where("node <> c.node")
-    pairs = materialise(pairs.unionByName(centred.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))).distinct(), "simhash-pairs")
-    own = lambda side: nodes.select(F.col("node").alias(side), F.col("fps").alias(f"fps_{side}"))
-    differ = F.aggregate(F.zip_with("fps_a", "fps_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
-    return pairs.join(own("a"), "a").join(own("b"), "b").where(differ <= most).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, tables: int = TABLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links), one row per row of ``docs``.
 
     Null text is empty; texts without words have fingerprint zero and link like any other. Rows without id get the
     component's smallest id too, null only if nobody there has one. Repeated rows come out as often as they went in.
-    An empty table gives an empty result; other columns are ignored. With a ``similarity`` further links join texts
-    whose shingle sets are about as similar (see ``similar_links``), by ``tables`` of fingerprints.
+    An empty table gives an empty result; other columns are ignored.
     """
-    found = fingerprints(docs, words, SEED, id_col, text_col, tables if similarity else 1).select("doc_id", F.col("fps")[0].alias("fp"), "fps")
-    found = materialise(found if similarity else found.drop("fps"), "simhash-fingerprints")
+    found = fingerprints(docs, words, SEED, id_col, text_col).select("doc_id", F.col("fps")[0].alias("fp"))
+    found = materialise(found, "simhash-fingerprints")
     nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "simhash-nodes")
-    edges = links(nodes.select("fp"), max_bits)
-    if similarity:  # one text for each fingerprint of the first table; its equals are linked by that already
-        first = found.groupBy("fp").agg(F.min("fps").alias("fps")).select(F.col("fp").alias("node"), "fps")
-        edges = edges.unionByName(similar_links(materialise(first, "simhash-tables"), tables, similarity))
-    roots = connected_components(edges)
+    roots = connected_components(links(nodes.select("fp"), max_bits))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-roots")
     lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
@@ -191,13 +156,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, text_key (hash of the text), root (one for each group), one row per distinct id and text: groups hang together
+    by pairs whose shingle sets have at least that Jaccard ``similarity``. Texts without words are one group."""
+    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
+    found = materialise(prefixes(texts.select("text_key", "text"), words, similarity), "shingle-prefixes")
+    roots = connected_components(shingle_links(texts.select("text_key", "text"), found, words, similarity))
+    named = found.select("text_key", "node").distinct().join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
+    return texts.select("doc_id", "text_key").distinct().join(named, "text_key")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id, with the columns of ``docs``.
 
+    Groups hang together by pairs whose sets of shingles have at least that Jaccard ``similarity``, all of which are found.
+
     Rows without id stay if no row with an id is in their group. Of rows with the same id the first text stays.
     """
-    groups = near_duplicates(docs, words, max_bits, similarity=similarity)
-    kept = materialise(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lodestack_id")).distinct(), "simhash-kept")
+    groups = materialise(similar_groups(docs, words, similarity), "simhash-groups")
+    lowest = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    kept = groups.join(lowest, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialise(kept.select(F.col("doc_id").alias("__lodestack_id")).distinct(), "simhash-kept")
     rows = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__lodestack_id"]), "left_semi")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         order = Window.partitionBy("doc_id").orderBy("text")

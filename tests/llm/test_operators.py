@@ -171,6 +171,31 @@ def test_keep_first_finds_near_copies(spark):
     assert simhash.keep_first(odd).columns == odd.columns
 
 
+def words_of(rnd, n):
+    return ["".join(rnd.choices("abcdefghijklm", k=8)) for _ in range(n)]
+
+
+def edited(rnd, words, n):
+    """A copy with ``n`` words replaced, five places from each other at least."""
+    at = set(rnd.sample(range(2, len(words) - 2, 5), n))
+    return [f"{rnd.random()}" if i in at else w for i, w in enumerate(words)]
+
+
+def set_jaccard(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_first_joins_copies_that_only_their_original_is_like(spark):
+    rnd = random.Random(5)
+    original = words_of(rnd, 400)
+    copies = [edited(rnd, original, 8) for _ in range(150)]
+    assert min(set_jaccard(original, c) for c in copies) >= 0.8
+    assert max(set_jaccard(a, b) for a, b in itertools.combinations(copies[:40], 2)) < 0.8
+    rows = [(100 + i, " ".join(c), "s") for i, c in enumerate(copies)] + [(1, " ".join(original), "s")]
+    assert [r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()] == [1]
+
+
 # --- 9
 
 
