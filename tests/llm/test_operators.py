@@ -177,7 +177,7 @@ def words_of(rnd, n):
 
 def edited(rnd, words, n):
     """A copy with ``n`` words replaced, five places from each other at least."""
-    at = set(rnd.sample(range(2, len(words) - 2, 5), n))
+    at = set(rnd.sample(range(5, len(words) - 5, 5), n))
     return [f"{rnd.random()}" if i in at else w for i, w in enumerate(words)]
 
 
@@ -196,6 +196,20 @@ def test_keep_first_joins_copies_that_only_their_original_is_like(spark):
     assert [r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()] == [1]
 
 
+@pytest.mark.parametrize("others", [0, 530_000])
+def test_keep_first_decides_by_similarity_whatever_the_size(spark, others):
+    rnd = random.Random(7)
+    like, unlike = ([(w, edited(rnd, w, n)) for w in (words_of(rnd, 400) for _ in range(40))] for n in (8, 9))
+    assert all(0.8 <= set_jaccard(*p) < 0.82 for p in like) and all(0.78 < set_jaccard(*p) < 0.8 for p in unlike)
+    pairs = like + unlike
+    rows = [(1 + i, " ".join(a), "s") for i, (a, _) in enumerate(pairs)] + [(101 + i, " ".join(b), "s") for i, (_, b) in enumerate(pairs)]
+    docs = docs_of(spark, rows).select("doc_id", "text")
+    docs = docs.unionByName(spark.range(1000, 1000 + others).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.xxhash64("id", F.lit(k)) for k in range(3))).alias("text")))
+    kept = simhash.keep_first(docs)
+    assert {r.doc_id for r in kept.where("doc_id < 1000").collect()} == {*range(1, 81), *range(141, 181)}
+    assert kept.where("doc_id >= 1000").count() == others
+
+
 # --- 9
 
 
