@@ -210,6 +210,17 @@ def test_keep_first_decides_by_similarity_whatever_the_size(spark, others):
     assert kept.where("doc_id >= 1000").count() == others
 
 
+def test_similar_pairs_are_those_of_brute_force(spark):
+    rnd = random.Random(17)
+    texts = [w for base in (words_of(rnd, rnd.randint(60, 300)) for _ in range(8)) for w in (base, *(edited(rnd, base, rnd.randint(1, len(base) // 20)) for _ in range(7)))]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if set_jaccard(texts[i], texts[j]) >= 0.8}
+    assert 20 < len(want) < 1000
+    groups = {r.doc_id: r.root for r in simhash.similar_groups(docs_of(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)]), 5, 0.8).collect()}
+    roots = {r.node: r.root for r in connected_components(spark.createDataFrame(sorted(want), "a long, b long")).collect()}
+    got, brute = [groups[i] for i in range(len(texts))], [roots.get(i, i) for i in range(len(texts))]
+    assert len(set(zip(got, brute, strict=True))) == len(set(got)) == len(set(brute))
+
+
 # --- 9
 
 
