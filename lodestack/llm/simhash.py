@@ -170,16 +170,18 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     """One document of each group of near-duplicates, that with the smallest id, with the columns of ``docs``.
 
     Groups hang together by pairs whose sets of shingles have at least that Jaccard ``similarity``, all of which are found.
-
-    Rows without id stay if no row with an id is in their group. Of rows with the same id the first text stays.
+    Of a group's different texts with that id one stays, of equal rows too; texts of other groups stay whatever their id.
+    Rows without id stay if no row with an id is in their group.
     """
     groups = materialise(similar_groups(docs, words, similarity), "simhash-groups")
-    lowest = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    kept = groups.join(lowest, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialise(kept.select(F.col("doc_id").alias("__lodestack_id")).distinct(), "simhash-kept")
-    rows = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__lodestack_id"]), "left_semi")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        order = Window.partitionBy("doc_id").orderBy("text")
-        named = rows.where("doc_id is not null").withColumn("__lodestack_row", F.row_number().over(order)).where("__lodestack_row = 1").drop("__lodestack_row")
+    first = groups.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    kept = groups.join(first, "root", "left").where(F.col("first").isNull() | F.struct("doc_id", "text_key").eqNullSafe(F.col("first")))
+    kept = materialise(kept.select(F.col("doc_id").alias("__lodestack_id"), F.col("text_key").alias("__lodestack_key")).distinct(), "simhash-kept")
+    key = F.xxhash64(text_or_empty())
+    rows = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__lodestack_id"]) & (key == kept["__lodestack_key"]), "left_semi")
+    if not docs.where("doc_id is not null").groupBy("doc_id", key).count().where("count > 1").isEmpty():
+        named = rows.where("doc_id is not null").withColumn("__lodestack_key", key)
+        order = Window.partitionBy("doc_id", "__lodestack_key").orderBy("text")
+        named = named.withColumn("__lodestack_row", F.row_number().over(order)).where("__lodestack_row = 1").drop("__lodestack_row", "__lodestack_key")
         rows = named.unionByName(rows.where("doc_id is null"))
     return rows

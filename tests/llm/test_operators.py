@@ -221,6 +221,18 @@ def test_similar_pairs_are_those_of_brute_force(spark):
     assert len(set(zip(got, brute, strict=True))) == len(set(got)) == len(set(brute))
 
 
+def test_keep_first_keeps_texts_that_share_an_id(spark):
+    rnd = random.Random(11)
+    a, b, c = (words_of(rnd, 200) for _ in range(3))
+    near = lambda t: " ".join(edited(rnd, t, 1))
+    a_near, c_near = near(a), near(c)
+    rows = [(1, " ".join(a), "s"), (5, a_near, "s"), (5, " ".join(b), "s"), (7, " ".join(c), "s"), (7, c_near, "s"), (8, "x y", "s"), (8, "x y", "s"), (None, a_near, "s"), (None, "no id", "s")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_first(docs_of(spark, rows)).collect()), key=str)
+    sevens = [t for i, t in kept if i == 7]
+    assert len(sevens) == 1 and sevens[0] in (" ".join(c), c_near)
+    assert [k for k in kept if k[0] != 7] == sorted([(1, " ".join(a)), (5, " ".join(b)), (8, "x y"), (None, "no id")], key=str)
+
+
 # --- 9
 
 
