@@ -233,6 +233,15 @@ def test_keep_first_keeps_texts_that_share_an_id(spark):
     assert [k for k in kept if k[0] != 7] == sorted([(1, " ".join(a)), (5, " ".join(b)), (8, "x y"), (None, "no id")], key=str)
 
 
+def test_keep_first_compares_every_text_of_a_fingerprint(spark):
+    rnd = random.Random(9)
+    ends = [words_of(rnd, 300) for _ in range(12)]
+    same = [["again"] * 2000 + e for e in ends]
+    assert len({int(simhash.fingerprint(" ".join(t), 5)[0]) for t in same}) == 1
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(same)] + [(100 + i, " ".join(e), "s") for i, e in enumerate(ends)]
+    assert {r.doc_id for r in simhash.keep_first(docs_of(spark, rows)).collect()} == set(range(12))
+
+
 # --- 9
 
 
