@@ -3,7 +3,8 @@
 Trusted positives and unlabelled text are told apart by a small network over text statistics that minimises the
 non-negative unbiased risk: with class prior p, the risk of calling a text bad is estimated from the unlabelled texts
 less p times that of the positives, and when this estimate falls below zero the step goes against it, so that the
-network doesn't learn the unlabelled texts by heart. The fit uses a bounded sample; scores cover every whole text.
+network doesn't learn the unlabelled texts by heart. Means and scales of the statistics are those of all texts that aren't held out, the fit takes a bounded sample of labelled texts
+and a share of all others, scores cover every whole text.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, materialise, text_or_empty
 
-#: Most rows that the fit takes of the positives, of the unlabelled texts, and of labelled negatives to choose the prior.
-FIT_POSITIVES, FIT_UNLABELLED, FIT_NEGATIVES = 6000, 12000, 3000
+#: Most rows that the fit takes of the positives and of labelled negatives to choose the prior.
+FIT_POSITIVES, FIT_NEGATIVES = 6000, 3000
+#: Unlabelled texts of the fit: all up to so many, beyond it a share that grows with the input. Rows of a step at once.
+FIT_UNLABELLED, FIT_SHARE, BLOCK_ROWS = 12000, 0.1, 1 << 16
 HIDDEN, STEPS, RATE, DECAY, SEED = 16, 300, 0.03, 1e-4, 5
 #: The prior where no negative is labelled, the bounds of its estimate, and the shares of the labelled rate tried for it.
 DEFAULT_PRIOR, PRIOR_BOUNDS, PRIOR_SHARES = 0.7, (0.05, 0.95), (1.0, 0.9, 0.8, 0.65)
@@ -90,11 +93,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Model:
-    """Minimises the non-negative unbiased risk with the logistic loss, by full-batch Adam steps."""
+def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """Minimises the non-negative unbiased risk with the logistic loss, by full-batch Adam steps.
+
+    ``moments`` are the statistics' means and deviations, by default those of the rows given.
+    """
     rng = np.random.default_rng(seed)
-    every = np.concatenate([positive, unlabelled])
-    mean, scale = every.mean(0), every.std(0) + 1e-6
+    if moments is None:
+        every = np.concatenate([positive, unlabelled])
+        moments = every.mean(0), every.std(0)
+    mean, scale = moments[0], moments[1] + 1e-6
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     weights = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
@@ -103,17 +111,23 @@ def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
         inner = slope[:, None] * weights[2] * (1 - hidden**2)
         return [x.T @ inner, inner.sum(0), hidden.T @ slope, np.array([slope.sum()])]
 
+    blocks = [u[i : i + BLOCK_ROWS] for i in range(0, len(u), BLOCK_ROWS)]
     for step in range(1, STEPS + 1):
-        hp, hu = np.tanh(p @ weights[0] + weights[1]), np.tanh(u @ weights[0] + weights[1])
-        zp, zu = hp @ weights[2] + weights[3], hu @ weights[2] + weights[3]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        hp = np.tanh(p @ weights[0] + weights[1])
+        zp = hp @ weights[2] + weights[3]
+        loss, of_u = 0.0, [np.zeros_like(w) for w in weights]
+        for block in blocks:
+            hu = np.tanh(block @ weights[0] + weights[1])
+            zu = hu @ weights[2] + weights[3]
+            loss += np.logaddexp(0, zu).sum()
+            of_u = [a + b for a, b in zip(of_u, back(block, hu, _sigmoid(zu) / len(u)), strict=True)]
+        negative = loss / len(u) - prior * np.logaddexp(0, zp).mean()
         at_p = -prior * _sigmoid(zp) / len(zp)  # slopes of the negative part
-        at_u = _sigmoid(zu) / len(zu)
         if negative < 0:
-            at_p, at_u = -at_p, -at_u
+            at_p, of_u = -at_p, [-x for x in of_u]
         else:
             at_p = at_p - prior * _sigmoid(-zp) / len(zp)
-        grads = [a + b for a, b in zip(back(p, hp, at_p), back(u, hu, at_u), strict=True)]
+        grads = [a + b for a, b in zip(back(p, hp, at_p), of_u, strict=True)]
         for i, g in enumerate(grads):
             g = g + DECAY * weights[i]
             first[i] = 0.9 * first[i] + 0.1 * g
@@ -122,8 +136,16 @@ def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
     return Model(mean, scale, weights[0], weights[1], weights[2], float(weights[3][0]), prior)
 
 
+def _matrix(rows: DataFrame) -> np.ndarray:
+    """The statistics of ``rows`` (x0, x1, ...) in a fixed order, whatever the order of the rows."""
+    found = rows.toArrow()
+    x = np.column_stack([found.column(i).to_numpy() for i in range(FEATURES)]).astype(float).reshape(-1, FEATURES)
+    return x[np.lexsort(x.T[::-1])]
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED, seed: int = SEED) -> Model:
-    """Fits on at most ``positives`` labelled good rows and ``unlabelled`` rows, those first in a seeded order.
+    """Fits on at most ``positives`` labelled good rows, those first in a seeded order, and on ``unlabelled`` rows or a share
+    of ``FIT_SHARE`` of all, whichever is more. The statistics' means and scales are those of all rows.
 
     Rows held out (see ``is_held_out``) are not used at all. The class prior is estimated: shares of the rate of good
     rows among the labelled are tried (a prior too high would hide the bad), and that stays whose network tells the
@@ -134,22 +156,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, un
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = shares.get(1, 0), shares.get(0, 0)
     prior = float(np.clip(good / (good + bad), *PRIOR_BOUNDS)) if good and bad else DEFAULT_PRIOR
-    ids = docs.select("doc_id").where(~is_held_out() & F.col("doc_id").isNotNull()).distinct()
-    first = lambda rows, n, part: rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n).select(F.col("doc_id").alias("fit_id"), F.lit(part).alias("part"))
-    labelled = lambda q: ids.join(known.where(F.col("quality") == q), "doc_id", "left_semi")
-    chosen = first(labelled(1), positives, 1).unionByName(first(ids, unlabelled, 2)).unionByName(first(labelled(0), FIT_NEGATIVES, 4))
-    chosen = materialise(chosen.groupBy("fit_id").agg(F.sum("part").alias("parts")), "quality-sample")
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen.select("fit_id")), F.col("doc_id") == F.col("fit_id")).select("doc_id", "text")
-    rows = features(texts).groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(chosen), F.col("doc_id") == F.col("fit_id")).select("doc_id", "x", "parts").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    p, u, n = (np.array([r["x"] for r in rows if r["parts"] & part], float).reshape(-1, FEATURES) for part in (1, 2, 4))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).where(~is_held_out() & F.col("doc_id").isNotNull())
+    every = features(texts).groupBy("doc_id").agg(F.min("x").alias("x"))
+    every = materialise(every.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("place"), *(F.col("x")[i].alias(f"x{i}") for i in range(FEATURES))), "quality-features")
+    columns = [f"x{i}" for i in range(FEATURES)]
+    n, *moments = every.agg(F.count(F.lit(1)), *(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns)).first()
+    first = lambda rows, n: rows.orderBy("place", "doc_id").limit(n).select(*columns)
+    labelled = lambda q, n: _matrix(first(every.join(known.where(F.col("quality") == q), "doc_id", "left_semi"), n))
+    share = every.where(F.shiftrightunsigned("place", 11).cast("double") * 2.0**-53 < FIT_SHARE).select(*columns)
+    p, u = labelled(1, positives), _matrix(share if n * FIT_SHARE > unlabelled else first(every, unlabelled))
     if not len(p) or not len(u):
         zero = np.zeros(FEATURES)
         return Model(zero, zero + 1, np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(prior / (1 - prior))), prior)
-    if not len(n):
-        return fit_non_negative(p, u, prior, seed)
-    models = [fit_non_negative(p, u, float(np.clip(prior * share, *PRIOR_BOUNDS)), seed) for share in PRIOR_SHARES]
-    return max(models, key=lambda m: round(float((m.score(p) >= 0.5).mean() + (m.score(n) < 0.5).mean()), 3))
+    negatives = labelled(0, FIT_NEGATIVES)
+    known_moments = np.array(moments[:FEATURES], float), np.array(moments[FEATURES:], float)
+    if not len(negatives):
+        return fit_non_negative(p, u, prior, seed, known_moments)
+    models = [fit_non_negative(p, u, float(np.clip(prior * share, *PRIOR_BOUNDS)), seed, known_moments) for share in PRIOR_SHARES]
+    return max(models, key=lambda m: round(float((m.score(p) >= 0.5).mean() + (m.score(negatives) < 0.5).mean()), 3))
 
 
 def rate(model: Model):

@@ -420,6 +420,21 @@ def test_non_negative_risk_separates():
     assert (model.score(u[:300]) > 0.5).mean() > 0.95 and (model.score(u[300:]) < 0.5).mean() > 0.95
 
 
+def test_fit_takes_moments_of_all_and_a_share_that_grows(spark, monkeypatch):
+    rnd = random.Random(13)
+    rows = [(i, " ".join(words_of(rnd, rnd.randint(5, 60))), "s") for i in range(900)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    sizes = []
+    fit = quality.fit_non_negative
+    monkeypatch.setattr(quality, "fit_non_negative", lambda p, u, *rest: sizes.append(len(u)) or fit(p, u, *rest))
+    model = quality.train(docs, labels, unlabelled=20)
+    open_ = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    x = np.array([quality.text_features(t) for t in open_])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6)
+    assert min(sizes) > 20 and abs(sizes[0] - len(open_) / 10) < 30
+
+
 # --- 10
 
 
