@@ -35,6 +35,7 @@ HARD_WORDS = frozenset("nav navbar navigation menu menubar footer sidebar ad ads
 SOFT_WORDS = frozenset("header masthead banner notice notices alert announcement related recommended recommendations widget toolbar topbar aside skip copyright legal disclaimer tags byline meta rail teaser hidden".split())
 GOOD_WORDS = frozenset("article content main post entry story body text articlebody".split())
 CLASS_WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
+BUTTON_END = re.compile("</button", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Ties: blocks that follow each other, with the same parent or not; nearest blocks with the same parent, grandparent.
 NEXT_SAME, NEXT_OTHER, SAME_PARENT, SAME_GRANDPARENT, OTHER_PLACE = 0.8, 0.15, 0.4, 0.2, 0.15
@@ -92,7 +93,7 @@ def blocks_of(page: str) -> list[Block]:
     number = at = 0
     parts: list[str] = []
     shown = linked = 0
-    in_link = False
+    in_link = unclosed = False
     end = len(page)
 
     def flush() -> None:
@@ -157,8 +158,9 @@ def blocks_of(page: str) -> list[Block]:
                     number += 1
                     stack.append(_Open(tag, number, _place(tag, m[3] or m[6] or "", stack[-1].place)))
         elif tag == "button" and not closing:
-            close = page.lower().find("</button", at) if "</button" in page[at : at + 2000].lower() else -1
-            at = close if close >= 0 else at
+            close = None if unclosed else BUTTON_END.search(page, at)
+            unclosed = not close
+            at = close.start() if close else at
     flush()
     return out
 

@@ -385,6 +385,12 @@ def test_main_text(spark):
     assert by[2] == by[3] == "" and by[4] == "only text, no tags." and len(by[5]) == 249_999 and by[None] == "Body text."
 
 
+def test_long_buttons_are_no_text():
+    button = "<button>{}Share</BUTTON>".format(f'<i data-path="{"M1 2 " * 800}"></i>')
+    assert html_extract.main_text(PAGE.replace("First", button + "First")) == html_extract.main_text(PAGE)
+    assert html_extract.main_text("<p>A whole sentence of text. <button>Left open, it goes on as a sentence.</p>").endswith("it goes on as a sentence.")
+
+
 # --- 8
 
 
