@@ -116,7 +116,7 @@ ORACLES: dict[str, str] = {
                strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured, true AS intact
         FROM u""",
     "op7_exact_dedup": """
-        WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents)
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(t) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY t)""",

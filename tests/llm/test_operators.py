@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.llm import exact_dedup, html_extract, mixing, packing, quality, secret_scan, sharding, simhash, warc, weighted_sampling
+from lodestack.llm import exact_dedup, html_extract, mixing, packing, quality, queries, secret_scan, sharding, simhash, warc, weighted_sampling
 from lodestack.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, bucket string, size string, rank int, digest string, kept boolean, target int, `start` string"
@@ -42,13 +42,14 @@ def test_no_rows(spark):
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_dedup(spark, keep):
-    got = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_dedup(docs_of(spark, ODD), keep, memtable_rows=4).collect()}
-    distinct = {(i, t or "") for i, t, _ in ODD}
-    assert len(got) == len(distinct)
-    for i, t in distinct:
+    found = exact_dedup.exact_dedup(docs_of(spark, ODD), keep).collect()
+    got, rows = {(r.doc_id, r.text_sha256): r for r in found}, Counter((r.doc_id, r.text_sha256) for r in found)
+    every = [(i, t or "") for i, t, _ in ODD]
+    assert rows == Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in every)
+    for i, t in every:
         r = got[i, hashlib.sha256(t.encode()).hexdigest()]
-        same = [j for j, u in distinct if u == t and j is not None]
-        assert r.group_size == sum(u == t for _, u in distinct)
+        same = [j for j, u in every if u == t and j is not None]
+        assert r.group_size == sum(u == t for _, u in every)
         assert r.keep_id == ((max if keep == "largest" else min)(same) if same else None)
         assert r.kept == (r.keep_id == i)
 
@@ -483,8 +484,8 @@ def test_weighted_sampling(spark):
     rows = [(3 * i, " ".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(5, 80))), "s") for i in range(150)]
     rows += [(1000, rows[-1][1], "s"), (1003, "", "s"), (1006, None, "s"), (1009, "solo", "s"), (1009, "solo", "s"), (2000, LONG, "s")]
     got = weighted_sampling.fingerprint(docs_of(spark, rows)).toPandas().sort_values("doc_id").reset_index(drop=True)
-    texts = [t or "" for _, t in sorted({(i, t or "") for i, t, _ in rows})]
-    assert len(got) == len(texts)
+    texts = [t or "" for _, t in sorted((i, t or "") for i, t, _ in rows)]
+    assert len(got) == len(texts) and not (got.edited_sha256.isna() | got.fingerprint.isna()).any()
     errors = []
     for i, (text, after) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True)):
         half = len(text) // 2
@@ -497,6 +498,28 @@ def test_weighted_sampling(spark):
     assert by[447][0] == by[1000][0] and by[447][1] == 1 and by[1003] == ("", 1.0) and by[1006] == ("", 0.0)
 
 
+@pytest.mark.parametrize("ids", [[None, 5, 9], [-(2**62) - 7, 0, 2**62 + 7, 2**63 - 1], [*range(300), 2**62], [7] * 5 + [None] * 4, ["b", None, "a", "aa"]])
+def test_neighbours_of_odd_ids(spark, ids):
+    rows = [(i, f"text number {n} of {len(ids)} " + "z" * (n % 5)) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, f"doc_id {'string' if 'a' in ids else 'long'}, text string")
+    keys = dict(docs.select("text", F.xxhash64("text")).collect())
+    order = [t for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, keys[r[1]]))]
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest() for t, after in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter(r.edited_sha256 for r in weighted_sampling.fingerprint(docs).collect()) == want
+
+
+def test_query_of_neighbours_by_brute_force(spark):
+    rows = sorted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.coalesce("text", F.lit(""))).collect())
+    got = {r.doc_id: r for r in queries.op1_weighted_sampling(spark, "/root/testdata/sf0.001").collect()}
+    errors = []
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(text)
+        errors += [got[i].near_edited - jaccard(text, edited), got[i].near_next - jaccard(text, after)]
+    assert len(got) == len(rows) and abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.11
+
+
 def test_one_document_is_its_own_next(spark):
     r = weighted_sampling.fingerprint(docs_of(spark, [(5, "a b c d", "s")])).first()
     assert r.near_next == 1 and r.edited_sha256 == hashlib.sha256(b"a b " + b"a b").hexdigest() and r.n_chars == 7
