@@ -246,22 +246,45 @@ def test_keep_first_compares_every_text_of_a_fingerprint(spark):
 # --- 9
 
 
-def test_targets_share_what_is_cut_off():
-    got = mixing.targets_of({"a": 100, "b": 10, None: 90, "c": 0})
-    assert got["b"] == 30 and got["c"] == 0  # weights: a 1, b 2, c 3, null 1
-    assert got["a"] == pytest.approx(85) and got[None] == pytest.approx(85)
+def targets_by_hand(sizes, weights=(1, 2, 3)):
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight, full = {s: weights[i % len(weights)] for i, s in enumerate(order)}, set()
+    while True:
+        rest, shared = sum(sizes.values()) - sum(3 * sizes[s] for s in full), sum(weight[s] for s in order if s not in full)
+        target = {s: 3.0 * sizes[s] if s in full else rest * weight[s] / shared for s in order}
+        if not (above := {s for s in order if s not in full and target[s] > 3 * sizes[s]}):
+            return target
+        full |= above
+
+
+def test_targets_share_what_is_cut_off(spark):
+    rnd = random.Random(3)
+    for sizes in ({"a": 100, "b": 10, None: 90, "c": 0}, {"a": 5}, {None: 0}, {f"s{i}": rnd.choice([1, 7, 10**rnd.randint(0, 6)]) for i in range(60)}):
+        rows = spark.createDataFrame([("n" if s is None else f"s{s}", s, n) for s, n in sizes.items()], "source_key string, source string, source_size long")
+        got = {(None if r.source_key == "n" else r.source_key[1:]): r.target for r in mixing.targets_of(rows).collect()}
+        want = targets_by_hand(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
+        assert got == pytest.approx(want)
 
 
-def test_fit_counts_against_all_subsets():
+def test_fit_counts_is_as_near_as_any_subset():
     rnd = random.Random(1)
-    for _ in range(60):
-        lengths = sorted(rnd.sample(range(0, 20), 5))
+    for turn in range(1500):
+        lengths = sorted(rnd.sample(range(0, rnd.choice([20, 60])), 5)) if turn % 3 else [2 * x for x in rnd.sample(range(1, 15), 4)]
         counts = [rnd.randint(1, 3) for _ in lengths]
-        total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-        budget = rnd.randint(0, total)
+        sums = {sum(n * x for n, x in zip(lengths, chosen, strict=True)) for chosen in itertools.product(*(range(c + 1) for c in counts))}
+        budget = rnd.randint(0, max(sums))
         got = mixing.fit_counts(lengths, counts, budget)
         assert all(0 <= x <= c for x, c in zip(got, counts, strict=True))
-        assert abs(sum(n * x for n, x in zip(lengths, got, strict=True)) - budget) <= 20
+        assert abs(sum(n * x for n, x in zip(lengths, got, strict=True)) - budget) == min(abs(x - budget) for x in sums)
+
+
+def test_fit_counts_of_one_very_long_text():
+    rnd = random.Random(5)
+    lengths = sorted(rnd.sample(range(50, 30_000), 4000)) + [2_000_000]
+    counts = [rnd.randint(1, 40) for _ in lengths]
+    budget = sum(n * c for n, c in zip(lengths, counts, strict=True)) * 2 // 5
+    got = mixing.fit_counts(lengths, counts, budget)
+    assert sum(n * x for n, x in zip(lengths, got, strict=True)) == budget
 
 
 def test_plan_mix(spark):
@@ -273,12 +296,12 @@ def test_plan_mix(spark):
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
-    targets = mixing.targets_of(dict(sizes))
+    targets = targets_by_hand(dict(sizes))
     for s, part in got.groupby(got["source"].map(lambda x: x if isinstance(x, str) else "none")):
         key = None if s == "none" else s
         assert (part.source_size == sizes[key]).all() and np.allclose(part.target, targets[key])
         if s != "s2":  # there one text is nearly all
-            assert abs(part.taken.sum() - targets[key]) <= 5
+            assert abs(part.taken.sum() - targets[key]) <= 1
     assert (got.taken <= 3 * got["size"]).all()
     again = mixing.plan_mix(docs_of(spark, rows)).toPandas()
     key = ["doc_id", "source", "size", "taken"]
