@@ -2,14 +2,18 @@
 
 A value that follows a credential word is segmented into words, dates, repeats, keyboard walks, sequences and brute-force
 spans such that an attacker who tries such segments needs the fewest guesses; the dynamic programme runs over the
-logarithms. Values that take many guesses are secrets, ``changeme123`` is a placeholder.
+logarithms. Values that take many guesses are secrets, ``changeme123`` is a placeholder. Words are ranked: frequent password
+words come first, then the words of a public vocabulary in its order. A value of nothing but words and signs between them
+(``required``, ``process.env.TOKEN``) is a secret only from ``PHRASE_WORDS`` words on.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,8 +44,8 @@ WORDS = (
     "april june july august october access server system data base database temp demo dev prod stage local host "
     "mail web site account public private insert replace fill todo value string text abc one two three the and"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Words of a vocabulary have so many letters; a value of words alone is a secret from so many words on.
+SHORTEST, LONGEST, PHRASE_WORDS = 3, 16, 4
 LEET = str.maketrans("@4301!5$7", "aaeolisst")
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 BESIDE = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {(a, b) for lo, hi in zip(ROWS, ROWS[1:], strict=False) for i, a in enumerate(lo) for b in hi[max(0, i - 1) : i + 1]}
@@ -56,21 +60,42 @@ def _alphabet(ch: str) -> float:
     return math.log10(26) if ch.isascii() and ch.isalpha() else math.log10(33) if ch.isascii() else 2.0
 
 
-@lru_cache(maxsize=20_000)
-def guess_cost(value: str) -> float:
-    """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes."""
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@lru_cache(maxsize=4)
+def ranked_words(path: str | None) -> dict[str, int]:
+    """Rank from 1 of each word: ``WORDS``, then the tokens of a byte-level vocabulary that start a word, by their ids."""
+    ranks = {w: i + 1 for i, w in enumerate(WORDS)}
+    if path:
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        for token in sorted(vocabulary, key=vocabulary.get):
+            word = token[1:].lower()
+            if token[0] == "\u0120" and SHORTEST <= len(word) <= LONGEST and word.isascii() and word.isalpha():
+                ranks.setdefault(word, len(ranks) + 1)
+    return ranks
+
+
+def segments(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str, int, int]]]:
+    """The cheapest segmentation of ``value``: the decimal logarithm of its guesses and its parts (kind, start, end), of
+    kind word, date, walk, sequence, repeat or brute (one character each). Steps are linear in the length."""
     n, low = len(value), value.lower()
     plain = low if len(low) == n else value
     leet = plain.translate(LEET)
     best = [0.0] + [math.inf] * n
+    back: list[tuple[str, int]] = [("", 0)] * (n + 1)
     walk = turn = run = 0  # lengths so far of the walk, the sequence and the repeat that end here
     step, alike = 0, {2: 0, 3: 0, 4: 0}
-    dates = {}
+    dates: dict[int, list[tuple[int, float]]] = {}
     for m in (m for i in range(n) if value[i].isdigit() and (m := DATE.match(value, i))):
         dates.setdefault(m.end(), []).append((m.start(), YEAR_COST if m.end() - m.start() == 4 else DATE_COST))
     for j in range(1, n + 1):
         ch = plain[j - 1]
-        cost = best[j - 1] + _alphabet(value[j - 1])
+        cost, via = best[j - 1] + _alphabet(value[j - 1]), ("brute", j - 1)
         if j > 1:
             before = plain[j - 2]
             walk = walk + 1 if (before, ch) in BESIDE else 0
@@ -78,24 +103,50 @@ def guess_cost(value: str) -> float:
             turn = turn + 1 if d in (1, -1) and d == step else int(d in (1, -1))
             run = run + 1 if ch == before else 0
             step = d
-        for length, base in ((walk, math.log10(94)), (turn, math.log10(26)), (run, _alphabet(ch))):
-            for k in ({length, 3} if length >= 3 else {2} if length == 2 and base != math.log10(94) else ()):
-                cost = min(cost, best[j - 1 - k] + base + math.log10(k + 1))
+        for kind, length, base in (("walk", walk, math.log10(94)), ("sequence", turn, math.log10(26)), ("repeat", run, _alphabet(ch))):
+            for k in ({length, 3} if length >= 3 else {2} if length == 2 and kind != "walk" else ()):
+                if (price := best[j - 1 - k] + base + math.log10(k + 1)) < cost:
+                    cost, via = price, (kind, j - 1 - k)
         for i in range(max(0, j - LONGEST), j - 1):
-            rank = RANK.get(plain[i:j]) or (RANK.get(leet[i:j], 0) * 2)
+            rank = ranks.get(plain[i:j]) or (ranks.get(leet[i:j], 0) * 2)
             if rank:
                 part = value[i:j]
-                cost = min(cost, best[i] + math.log10(rank) + (0 if part.islower() else 0.3 if part.istitle() or part.isupper() else 1.0) + 0.3)
+                price = best[i] + math.log10(rank) + (0 if part.islower() else 0.3 if part.istitle() or part.isupper() else 1.0) + 0.3
+                if price < cost:
+                    cost, via = price, ("word", i)
         for i, price in dates.get(j, ()):
-            cost = min(cost, best[i] + price)
+            if best[i] + price < cost:
+                cost, via = best[i] + price, ("date", i)
         for unit in alike:  # a unit of several characters, repeated
             alike[unit] = alike[unit] + 1 if j > unit and plain[j - 1 - unit] == ch else 0
             k = alike[unit] // unit + 1
             if k > 1:
                 first = j - k * unit
-                cost = min(cost, best[first] + min(best[first + unit] - best[first], sum(map(_alphabet, value[j - unit : j]))) + math.log10(k))
-        best[j] = cost
-    return best[n]
+                price = best[first] + min(best[first + unit] - best[first], sum(map(_alphabet, value[j - unit : j]))) + math.log10(k)
+                if price < cost:
+                    cost, via = price, ("repeat", first)
+        best[j], back[j] = cost, via
+    parts, at = [], n
+    while at:
+        kind, start = back[at]
+        parts.append((kind, start, at))
+        at = start
+    return best[n], parts[::-1]
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
+    """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes."""
+    return segments(value, ranked_words(default_vocabulary()) if ranks is None else ranks)[0]
+
+
+def secret_cost(value: str, ranks: dict[str, int], min_guesses: float = MIN_GUESSES) -> float | None:
+    """The guess cost of a value that is a secret, else nothing."""
+    cost, parts = segments(value, ranks)
+    if cost < min_guesses:
+        return None
+    words = sum(kind == "word" for kind, _, _ in parts)
+    only_words = all(kind == "word" or not any(c.isalnum() for c in value[a:b]) for kind, a, b in parts)
+    return None if only_words and words < PHRASE_WORDS else cost
 
 
 _HEX = np.zeros(256, bool)
@@ -110,35 +161,54 @@ def hex_runs(text: str, least: int = MIN_HEX) -> list[tuple[int, int]]:
     return [(int(edges[i]) + 1, int(edges[i + 1])) for i in at]
 
 
-def find_secrets(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[str, int, int, float | None]]:
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans' union, ascending."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def find_secrets(text: str, min_guesses: float = MIN_GUESSES, ranks: dict[str, int] | None = None) -> list[tuple[str, int, int, float | None]]:
     """Spans (kind, start, end, guesses) in code points, by start, then kind in the order of KINDS."""
     spans: list[tuple[str, int, int, float | None]] = []
     low = text.lower()
-    if any(h in low for h in HINTS):
+    hinted = any(h in low for h in HINTS)
+    if hinted:
         spans += [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     if "AKIA" in text:
         spans += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     if len(text) >= MIN_HEX:
         spans += [("hex", a, b, None) for a, b in hex_runs(text)]
-    if any(h in low for h in HINTS):
-        base = list(spans)
+    if hinted:
+        ranks = ranked_words(default_vocabulary()) if ranks is None else ranks
+        starts, ends = _merged([(a, b) for _, a, b, _ in spans])
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if not any(s < b and a < e for _, s, e, _ in base) and (cost := guess_cost(m[1])) >= min_guesses:
+            before = bisect_right(starts, b - 1) - 1  # the last one that starts within or before the value
+            if (before < 0 or ends[before] <= a) and (cost := secret_cost(m[1], ranks, min_guesses)) is not None:
                 spans.append(("guess", a, b, cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def scan_secrets(docs: DataFrame, min_guesses: float = MIN_GUESSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, min_guesses: float = MIN_GUESSES, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """doc_id and spans array<struct<kind, start, end, guesses>> of every row.
 
     Null and empty text have no spans. Repeated rows come out as often as they went in; an empty table gives an empty
-    result; other columns are ignored. ``guesses`` is null for the fixed patterns.
+    result; other columns are ignored. ``guesses`` is null for the fixed patterns. ``vocabulary`` is the path, on every
+    machine, of a byte-level tokenizer whose words are ranked.
     """
+    path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = ranked_words(path)
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end": b, "guesses": g} for k, a, b, g in find_secrets(t, min_guesses)] for t in batch["text"]]
+            found = [[{"kind": k, "start": a, "end": b, "guesses": g} for k, a, b, g in find_secrets(t, min_guesses, ranks)] for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": found})
 
     found = id_and_text(docs, id_col, text_col).mapInPandas(run, "doc_id string, spans array<struct<kind: string, start: long, end: long, guesses: double>>")
