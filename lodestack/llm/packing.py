@@ -8,6 +8,7 @@ Patterns are then joined back to the pieces by their rank among the pieces of th
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,8 +22,8 @@ from .common import id_and_text, materialise, spread_rank
 
 #: Production parameters.
 MAX_TOKENS, END_ID = 4096, 2
-#: Words whose ids a worker remembers in each of two generations.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers in each of two generations, and bytes of a word that is remembered (under 400 MB).
+REMEMBERED, LONGEST_WORD = 400_000, 64
 #: Signs that end a token of letters and are encoded by themselves.
 TAIL = b".,!?;:*$%&#|"
 
@@ -33,12 +34,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _is_letters(word: bytes) -> bool:
+    """Whether a word, once normalised, is nothing but letters. Rare scripts count as no letters, which is never wrong."""
+    if word.isascii():
+        return word.isalpha()
+    text = unicodedata.normalize("NFC", word.decode("utf-8")).lower()
+    return text.isalpha() and max(text) < "\u0530"
+
+
 class WordEncoder:
     """Ids of a text as little-endian 32-bit numbers.
 
     Tokens of this tokenizer are lower-cased and never span white space or the border from a letter to a sign, so that
     the ids of a text are those of its words. A worker remembers them in two generations: when the younger is full it
-    replaces the older. Texts that may hold a special token are encoded as they are.
+    replaces the older. Long words, such as texts without white space, aren't remembered. Words of letters become one
+    stretch of tokens each, whose last one is marked, so that many of them are encoded at once. Texts that may hold a
+    special token are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -46,29 +57,50 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-
-    def _encode(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, which are encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self._each(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of ``words``; short ones are remembered."""
         if len(self.young) + 2 * len(words) > REMEMBERED:
             self.young, self.old = {}, self.young
-        plain, joined = set(), []
+        found, letters, other, joined = {}, set(), set(), []
         for w in words:
             if (ids := self.old.get(w)) is not None:
-                self.young[w] = ids
+                found[w] = ids
                 continue
             core = w.rstrip(TAIL)
-            if core and len(core) < len(w) and (core.isalpha() or core.decode("utf-8").isalpha()):
+            if not core or not _is_letters(core):
+                other.add(w)
+                continue
+            letters.add(core)
+            if len(core) < len(w):
                 tail = w[len(core) :]
                 joined.append((w, core, tail))
-                plain.update(x for x in (core, tail) if x not in self.young)
-            else:
-                plain.add(w)
-        self._encode([w for w in plain if w not in self.young])
+                other.add(tail)
+        for part, encode in ((letters, self._letters), (other, self._each)):
+            new = [w for w in part if w not in self.young and w not in found]
+            if new:
+                found.update(zip(new, encode(new), strict=True))
+        own = lambda w: found[w] if w in found else self.young[w]
         for w, core, tail in joined:
-            self.young[w] = self.young[core] + self.young[tail]
+            found[w] = own(core) + own(tail)
+        self.young.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST_WORD)
+        return found
 
     def __call__(self, text: str) -> bytes:
         raw = text.encode("utf-8")
@@ -77,8 +109,8 @@ class WordEncoder:
         words = raw.lower().split()
         found = list(map(self.young.get, words))
         if None in found:
-            self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-            found = [self.young[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            learnt = self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            found = [learnt[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
         return b"".join(found)
 
 

@@ -322,6 +322,41 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_equals_the_tokenizer_on_any_text():
+    from tokenizers import Tokenizer
+
+    encode, whole = packing.WordEncoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    rnd = random.Random(12)
+    signs = ["\u0130", "\u0130.", "i\u0307", "e\u0301", "\u00c9", "\u03a3", "\u0391\u03a3.", "\u1e9e", "\ufb01", "\u01c5", "\u0345", "\u0660", "\u00bd", "\u4e2d\u6587", "\u3002", "\u00a0", "\u2028", "\u200d", "\U0001f469", "\U00010400", "\U0001e900", "'s", "'T", "don't", "x", "Yz", "7", ".", ",!", "?", " ", " ", "\t", "\n", "$%", "<", "|", "\x1c", "\x85", "\u0531", "\u10a0", "\u13a0", "\uab70", "\u1c80", "=\u0338"]
+    texts = ["".join(rnd.choices(signs, k=rnd.randint(1, 12))) for _ in range(8000)]
+    texts += ["".join(chr(rnd.choice([rnd.randint(32, 0x2FF), rnd.randint(0x300, 0xD7FF), rnd.randint(0xE000, 0x1FFFF)])) for _ in range(8)) + rnd.choice(["", ".", "!?", " a"]) for _ in range(4000)]
+    for text in texts:
+        if "<|" not in text:
+            assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_word_encoder_remembers_no_long_words():
+    encode = packing.WordEncoder(packing.default_tokenizer())
+    for i in range(20):
+        encode(chr(0x4E00 + i) * 5000 + f" short{chr(97 + i)}")
+    assert max(map(len, encode.young)) <= packing.LONGEST_WORD and len(encode.young) < 60
+
+
+def test_packing_query_by_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    got = queries.op5_packing(spark, "/root/testdata/sf0.001").toPandas()
+    want = Counter()
+    for i, text in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.coalesce("text", F.lit(""))).collect():
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        for a in range(0, len(ids), 4 * 4096):
+            want[i, a // 4, zlib.crc32(ids[a : a + 4 * 4096]), len(ids) // 4] += 1
+    assert Counter(zip(got.doc_id, got.start, got.ids_crc32, got.doc_tokens, strict=True)) == want
+    for _, part in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and part.length.sum() <= 4096
+
+
 def test_patterns_place_every_length():
     rnd = random.Random(4)
     for _ in range(20):
@@ -336,10 +371,12 @@ def test_patterns_place_every_length():
 def test_pack(spark):
     rows = ODD + [(50 + i, "same words here " * (i % 5), "s") for i in range(60)]
     got = packing.pack(docs_of(spark, rows), max_tokens=256, with_ids=True).toPandas()
-    encode = packing.WordEncoder(packing.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
     want = Counter()
     for _, t, _ in rows:
-        ids = encode(t or "") + np.array([2], "<u4").tobytes()
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         for a in range(0, len(ids), 1024):
             want[a // 4, zlib.crc32(ids[a : a + 1024]), len(ids) // 4] += 1
     assert Counter(zip(got.start, got.ids_crc32, got.doc_tokens, strict=True)) == want
