@@ -56,7 +56,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = _warc.archive_and_index(_table(spark, sf_dir, "pages"))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "intact")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "intact", "position")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +107,15 @@ ORACLES: dict[str, str] = {
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
         g AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first_id FROM p),
         u AS (SELECT *, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS host,
-                     regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM g)
-        SELECT page_id, n::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+                     regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM g),
+        k AS (SELECT page_id, n::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
                CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
                array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE lower(path) END
                  || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key,
                strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured, true AS intact
-        FROM u""",
+        FROM u)
+        SELECT *, row_number() OVER (ORDER BY url_key, captured, page_id) AS position FROM k""",
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,

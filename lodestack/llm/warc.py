@@ -1,9 +1,11 @@
 """WARC archives and their capture index.
 
-Records are written by Spark's own text writer (CRLF as the line end, gzip), so that archives can live in any store that
-Spark reaches; they are read back as binary files. Every archive gives one run of captures sorted by URL key, time and
-page id. The runs are merged externally: captures are dealt into key ranges of bounded size, and in each range a loser
-tree merges the runs' slices, which gives globally ordered capture histories.
+Every record is a gzip member of its own, so that an index entry's offset and length are all that reading it takes. A
+member ends with the upper byte of its length, which is zero below 16 MB: the members, less this byte, are written by
+Spark's own text writer with a zero byte as the line end, so that archives can live in any store that Spark reaches. A
+longer record has several members. Archives are read back as binary files; each gives one run of captures sorted by URL
+key, time and page id. The runs are merged externally: captures are dealt into key ranges of bounded size, and in each
+range a loser tree merges the runs' slices, which gives globally ordered capture histories.
 """
 
 from __future__ import annotations
@@ -14,16 +16,20 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import materialise, new_path
+from .exact_dedup import digest_filter, filter_bits, in_filter
 
 #: Payloads below this are never revisits. Bytes of an archive before compression, about; captures in a key range.
 MIN_REVISIT, ARCHIVE_BYTES, RANGE_CAPTURES = 100, 32 << 20, 100_000
 #: Time of the capture of page 0; each next page is a second later.
 FIRST_CAPTURE = 1_700_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of a record in a gzip member, at most; below 16 MB.
+MEMBER_BYTES = (1 << 24) - 1
 CAPTURE = "archive string, offset long, length long, page_id {kind}, url string, url_key string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to {kind}, intact boolean"
 
 
@@ -40,7 +46,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
     """Writes a record per row of ``pages`` (page_id, url, html) and returns ``path``.
 
     Of rows with equal payloads of at least ``min_revisit`` bytes, that with the smallest page id is a response and the
-    others are revisits of it. Null html is an empty payload. Control characters and blanks in a URL are escaped.
+    others are revisits of it. Null html is an empty payload. Control characters and blanks in a URL are escaped. Only
+    pages whose digest is in a filter over the repeated ones are shuffled.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html")).withColumn("payload_digest", F.sha2("html", 256))
@@ -50,7 +57,12 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
     revisits = revisits.select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), F.col("first_id").alias("refers_to")).distinct()
     total = narrow.agg(F.count(F.lit(1)), F.sum("payload_bytes")).first()
     each = max(1, min(100_000, archive_bytes * total[0] // max(1, total[1] or 1)))
-    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
+    digests = materialise(revisits.select(F.col("r_digest").alias("digest")).distinct(), "warc-repeated")
+    bits = filter_bits(digests.count())
+    likely = in_filter(rows.withColumn("digest", F.col("payload_digest")), materialise(digest_filter(digests, bits), "warc-filter"), bits, "likely")
+    found = likely.where("likely").join(revisits.hint("merge"), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
+    alone = likely.where("not likely").withColumn("refers_to", F.lit(None).cast(revisits.schema["refers_to"].dataType))
+    joined = found.select(*rows.columns, "refers_to").unionByName(alone.select(*rows.columns, "refers_to"))
     own = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     revisit = F.col("refers_to").isNotNull()
     uri = F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), own)), "[\\x00-\\x20\\x7f]", "%20")
@@ -66,11 +78,26 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    record = F.concat(head, F.lit("\r\n\r\n"), block, F.lit("\r\n"))  # the writer ends it with another line end
-    joined.select(record.alias("value")).write.options(lineSep="\r\n", compression="gzip", maxRecordsPerFile=each).text(path)
+    record = F.concat(head, F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n"))
+    members = joined.select(_member(record).cast("string").alias("value"))
+    members.write.options(lineSep="\0", maxRecordsPerFile=each).text(path)
     return path
 
 
+def gzip_members(record: bytes) -> bytes:
+    """A record as gzip members, of which the last has less than 16 MB and so ends with a zero byte."""
+    out = []
+    for at in range(0, len(record) or 1, MEMBER_BYTES):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [packer.compress(record[at : at + MEMBER_BYTES]), packer.flush()]
+    return b"".join(out)
+
+
+@F.pandas_udf(BinaryType())
+def _member(records: pd.Series) -> pd.Series:
+    return records.map(lambda r: gzip_members(r.encode("utf-8"))[:-1])
+
+
 def url_key(url: str) -> str:
     """Sort key of a URL: host parts from the last to the first, then path and query."""
     try:
@@ -84,8 +111,31 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.split('.')))}){parts.path.lower() or '/'}{'?' + parts.query if parts.query else ''}"
 
 
+def members_of(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Records of an archive: offset, length and the record; gzip members that start none belong to the one before.
+
+    An archive that isn't compressed is one piece.
+    """
+    at, offset, parts = 0, 0, []
+    view = memoryview(content)
+    while at < len(content):
+        if content[at : at + 2] != b"\x1f\x8b":
+            part, end = content[at:], len(content)
+        else:
+            member = zlib.decompressobj(31)
+            part = member.decompress(view[at:]) + member.flush()
+            end = len(content) - len(member.unused_data)
+        if parts and part.startswith(b"WARC/"):
+            yield offset, at - offset, b"".join(parts)
+            parts, offset = [], at
+        parts.append(part)
+        at = end
+    if parts:
+        yield offset, at - offset, b"".join(parts)
+
+
 def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Records of an uncompressed archive: offset, length, header fields (lower-case names), block."""
+    """Records of an uncompressed archive or piece: offset, length, header fields (lower-case names), block."""
     at = 0
     while at < len(data):
         if data[at : at + 5] != b"WARC/":
@@ -101,26 +151,28 @@ def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
         at = after
 
 
-def _unzip(content: bytes) -> bytes:
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
-        member = zlib.decompressobj(31)
-        out += [member.decompress(content), member.flush()]
-        content = member.unused_data
-    return b"".join(out)
+def archive_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Records of a stored archive: offset and length in it, header fields, block. Where a gzip member holds several records,
+    they all have its offset and length."""
+    for at, length, piece in members_of(content):
+        packed = content[at : at + 2] == b"\x1f\x8b"
+        for inner, size, fields, block in parse_records(piece):
+            yield (at, length, fields, block) if packed else (at + inner, size, fields, block)
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """The captures in the archives below ``path``, sorted within each archive: one run per archive."""
+    """The captures in the archives below ``path``, sorted within each archive: one run per archive.
+
+    ``intact`` is whether a response's payload has the digest and length that its record tells; for revisits it is null
+    (see ``resolve_revisits``). Archives are read whole, each in one task, so they should stay below 2 GB.
+    """
     number = id_type != "string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for at, length, fields, block in parse_records(_unzip(content)):
+                for at, length, fields, block in archive_records(content):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     size = int(next(x for x in head.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
                     told = fields["warc-payload-digest"].removeprefix("sha256:")
@@ -129,15 +181,33 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
                     ids = [fields.get(k) or None for k in ("warc-page-id", "warc-refers-to-page")]
                     page_id, refers = (int(x) if x is not None and number else x for x in ids)
                     uri = fields["warc-target-uri"]
-                    rows.append((name.rsplit("/", 1)[-1], at, length, page_id, uri, url_key(uri), fields["warc-date"], fields["warc-type"], len(payload) if full else size, digest, refers, digest == told and (not full or len(payload) == size)))
+                    intact = digest == told and len(payload) == size if full else None
+                    rows.append((name.rsplit("/", 1)[-1], at, length, page_id, uri, url_key(uri), fields["warc-date"], fields["warc-type"], len(payload) if full else size, digest, refers, intact))
                 rows.sort(key=capture_order)
-                frame = pd.DataFrame(rows, columns=[c.split()[0] for c in CAPTURE.split(", ")])
+                frame = pd.DataFrame(rows, columns=[c.split()[0] for c in CAPTURE.split(", ")]).astype({"intact": "object"})
                 yield frame.astype({"page_id": "Int64", "refers_to": "Int64"}) if number else frame
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
     return files.mapInPandas(run, CAPTURE.format(kind=id_type))
 
 
+def read_payload(content: bytes, offset: int, length: int) -> bytes:
+    """The payload of the record at ``offset`` of a stored archive, from its own bytes alone."""
+    _, _, _, block = next(archive_records(content[offset : offset + length]))
+    return block.partition(b"\r\n\r\n")[2]
+
+
+def resolve_revisits(captures: DataFrame) -> DataFrame:
+    """``captures`` with ``intact`` of the revisits: whether the archives hold an intact response of the page that one refers
+    to, with the same digest and length."""
+    asked = captures.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    there = captures.where("record_type = 'response' and intact").join(asked, ["page_id", "payload_digest", "payload_bytes"], "left_semi").select("page_id", "payload_digest", "payload_bytes").distinct()
+    there = there.select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), F.col("payload_bytes").alias("r_bytes"))
+    found = (F.col("refers_to") == F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")) & (F.col("payload_bytes") == F.col("r_bytes"))
+    revisits = captures.where("record_type = 'revisit'").join(there, found, "left").withColumn("intact", F.col("r_id").isNotNull()).select(*captures.columns)
+    return captures.where("record_type <> 'revisit'").unionByName(revisits)
+
+
 def capture_order(row: tuple) -> tuple:
     return row[5], row[6], row[3] is not None, row[3] if row[3] is not None else 0
 
@@ -208,8 +278,18 @@ def merge_index(captures: DataFrame, range_captures: int = RANGE_CAPTURES) -> Da
     return dealt.mapInPandas(merge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", range_no int, place long")
 
 
+def ranked(merged: DataFrame) -> DataFrame:
+    """Adds ``position``, from 1, of every capture in the whole index; the ranges' sizes add up to it."""
+    merged = materialise(merged, "warc-index")
+    sizes = merged.groupBy("range_no").agg(F.count(F.lit(1)).alias("range_size"))
+    below = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = sizes.select("range_no", F.coalesce(F.sum("range_size").over(below), F.lit(0)).alias("range_start"))
+    return merged.join(F.broadcast(starts), "range_no").withColumn("position", F.col("range_start") + F.col("place") + 1).drop("range_start")
+
+
 def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes ``pages`` into archives, reads them back and merges their index; one capture per row of ``pages``.
+    """Writes ``pages`` into archives, reads them back and merges their index; one capture per row of ``pages``, with its
+    ``position`` in the order of URL key, time and page id.
 
     Null html is an empty payload, null url gets a URN of the page id, repeated rows are recorded as often as they
     occur, an empty table gives an empty result, other columns are ignored. A repeated page id whose payload is the
@@ -218,4 +298,5 @@ def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     where = write_archives(pages, path or new_path(spark, "warc"))
-    return merge_index(materialise(read_archives(spark, where, kind), "warc-runs"))
+    runs = materialise(read_archives(spark, where, kind), "warc-runs")
+    return ranked(merge_index(resolve_revisits(runs)))

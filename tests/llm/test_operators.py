@@ -401,7 +401,35 @@ def test_archives(spark):
         assert r.payload_bytes == len(body.encode()) and r.payload_digest == hashlib.sha256(body.encode()).hexdigest()
         assert (None if pd.isna(r.refers_to) else r.refers_to) == want.get(r.page_id) and r.record_type == ("revisit" if r.page_id in want else "response")
     order = list(zip(got.url_key, got.captured, got.page_id, strict=True))
-    assert order == sorted(order)
+    assert order == sorted(order) and got.position.tolist() == list(range(1, len(rows) + 1))
+
+
+def test_records_are_members_that_stand_alone(spark, tmp_path, monkeypatch):
+    import gzip
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices("abc é🎉\n<p>", k=n)) for n in (0, 10, 200, 30_000, 30_001)] + ["\0 zero \r\n\r\nWARC/1.1\r\n" * 40]
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = warc.archive_and_index(pages, str(tmp_path / "w")).collect()
+    assert len(got) == len(texts) and all(r.intact for r in got)
+    for r in got:
+        content = (tmp_path / "w" / r.archive).read_bytes()
+        assert warc.read_payload(content, r.offset, r.length).decode() == texts[r.page_id]
+        assert gzip.decompress(content[r.offset : r.offset + r.length]).startswith(b"WARC/1.1\r\n")
+        assert content[: 2] == b"\x1f\x8b" and gzip.decompress(content).count(b"WARC-Record-ID") >= 1
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
+    for n in (0, 999, 1000, 1001, 3500):
+        record = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n + b"x" * n + b"\r\n\r\n"
+        packed = warc.gzip_members(record)
+        assert packed[-1] == 0 and gzip.decompress(packed) == record
+        assert [(a, n_, len(b)) for a, n_, _, b in warc.archive_records(packed * 3)] == [(k * len(packed), len(packed), n) for k in range(3)]
+
+
+def test_revisits_need_an_intact_response(spark):
+    row = lambda i, kind, digest, n, refers, ok: ("a", 0, 1, i, "u", "k", "t", kind, n, digest, refers, ok)
+    rows = [row(1, "response", "x", 5, None, True), row(2, "revisit", "x", 5, 1, None), row(3, "revisit", "y", 5, 1, None), row(4, "revisit", "x", 6, 1, None), row(5, "revisit", "x", 5, 9, None), row(6, "response", "z", 1, None, False), row(7, "revisit", "z", 1, 6, None)]
+    got = {r.page_id: r.intact for r in warc.resolve_revisits(spark.createDataFrame(rows, warc.CAPTURE.format(kind="bigint"))).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False}
 
 
 def test_loser_tree():
