@@ -1,10 +1,10 @@
 """Main-text extraction by minimum-cut labelling.
 
-A page is cut into blocks. A classifier over a block's place and text gives the cost of calling it content or
-boilerplate; these costs are the capacities of its edges to the two terminals. Blocks that follow each other and blocks
-that are near in the DOM are tied by smoothness edges. The minimum cut, found by maximum flow, separates content from
-boilerplate at the least total cost. Blocks whose own cost outweighs all their ties are settled before the flow runs,
-which doesn't change the minimum.
+A page is cut into blocks. A logistic classifier over a block's text, links, tag, and the elements and class names around
+it gives the cost of calling it content or boilerplate; these costs are the capacities of its edges to the two terminals.
+Blocks that follow each other and blocks that are near in the DOM are tied by smoothness edges. The minimum cut, found by
+maximum flow, separates content from boilerplate at the least total cost. Blocks whose own cost outweighs all their ties are
+settled before the flow runs, which doesn't change the minimum. Only what a page hides is left out before the cut.
 """
 
 from __future__ import annotations
@@ -16,96 +16,192 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.DOTALL)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What comes before the next end of a tag or value in it.
+INSIDE = re.compile(r"[^>=]*(?:=\s*)?")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: Elements whose text is never shown as text, elements without content, elements that start a block.
-RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes select option datalist audio video canvas".split())
+#: Elements whose text is never shown as text: those that eat the page if they aren't closed, and those that don't.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+EMBEDDED = frozenset("noscript template svg math object select option datalist audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that an opening one of the same kind ends, up to the nearest of the holders.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot div section article aside nav footer header main body html form td th blockquote".split())
-#: Places: boilerplate for good, boilerplate unless an article is inside, content.
-HARD_TAGS, SOFT_TAGS, GOOD_TAGS = frozenset(("nav", "footer", "aside", "form", "dialog", "menu", "button", "head")), frozenset(("header",)), frozenset(("article", "main"))
-HARD_WORDS = frozenset("nav navbar navigation menu menubar footer sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login popup modal share sharing social search searchbox complementary contentinfo".split())
-SOFT_WORDS = frozenset("header masthead banner notice notices alert announcement related recommended recommendations widget toolbar topbar aside skip copyright legal disclaimer tags byline meta rail teaser hidden".split())
+#: Elements of boilerplate (the last unless it's in an article), of content, and words of class names. Words of
+#: ``CLEARED`` say nothing about an article inside.
+OUTER_TAGS, GOOD_TAGS, HEADINGS = frozenset("nav footer aside form dialog menu button head header".split()), frozenset(("article", "main")), frozenset("h1 h2 h3 h4 h5 h6".split())
+OUTER_WORDS = frozenset("nav navbar navigation menu menubar footer sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login popup modal share sharing social search searchbox complementary contentinfo related recommended recommendations widget teaser rail header masthead banner notice notices alert announcement toolbar topbar aside skip copyright legal disclaimer tags byline meta hidden".split())
+CLEARED = frozenset("search searchbox social share sharing login header masthead banner notice notices alert announcement toolbar topbar skip legal meta hidden tags byline".split())
 GOOD_WORDS = frozenset("article content main post entry story body text articlebody".split())
-CLASS_WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
+#: Words that tell nothing about what is inside.
+PLAIN_WORDS = frozenset("box wrapper container wrap list item items bar area block section inner outer top bottom left right center column col row grid slot unit panel overlay form field label link links button btn icon icons title heading js is has the site page global primary secondary mobile desktop large small sticky fixed dark light layer group region module component id class new".split())
+CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BUTTON_END = re.compile("</button", re.IGNORECASE)
+#: Fitted (see ``fit_weights`` and its test): the classifier's weights, in the order of ``block_features``.
+WEIGHTS = (-1.1, 0.7, -2.4, 1.5, 1.6, -1.1, 0.5, 4.2, 4.1, -2.4, -2.8, 0.3, -3.5)
+#: Fitted: ties of blocks that follow each other, with the same parent or not; of nearest blocks with the same parent,
+#: grandparent; the part that is left where the elements around differ.
+NEXT_SAME, NEXT_OTHER, SAME_PARENT, SAME_GRANDPARENT, OTHER_PLACE = 0.6, 0.15, 0.8, 0.1, 0.02
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-#: Ties: blocks that follow each other, with the same parent or not; nearest blocks with the same parent, grandparent.
-NEXT_SAME, NEXT_OTHER, SAME_PARENT, SAME_GRANDPARENT, OTHER_PLACE = 0.8, 0.15, 0.4, 0.2, 0.15
+
+
+@dataclass(slots=True)
+class Around:
+    """What the elements around a block tell: an article, class names of content, elements of boilerplate, class names of
+    boilerplate, class names that are mixed, and whether it isn't shown. ``soft``: what an article inside takes back."""
+
+    article: bool = False
+    good: bool = False
+    outer: bool = False
+    named: bool = False
+    mixed: bool = False
+    hidden: bool = False
+    soft: bool = False
 
 
 @dataclass(slots=True)
 class Block:
     text: str
     tag: str
-    place: int
+    around: Around
     link_share: float
     parent: int
     grandparent: int
+    away: bool = False  # outside of the article, on a page that has one
 
 
 @dataclass(slots=True)
 class _Open:
+    """An open element; ``holder`` and ``cell`` are the places in the stack of the nearest holder and table cell."""
+
     tag: str
     number: int
-    place: int
+    around: Around
+    holder: int = 0
+    cell: int = 0
 
 
-def _place(tag: str, attributes: str, before: int) -> int:
-    """-2: boilerplate for good, -1: boilerplate unless an article comes, 0: unknown, 1: content."""
-    if before == -2:
-        return -2
-    if tag in HARD_TAGS:
-        return -2
-    words: set[str] = set()
+def _around(tag: str, attributes: str, before: Around) -> Around:
+    """``before`` with what an element adds to it."""
+    outer, good, named, mixed, hidden, soft = before.outer, before.good, before.named, before.mixed, before.hidden, before.soft
+    article = before.article or tag in GOOD_TAGS
+    found: list[set[str]] = []
     if attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
-            name = name.lower()
-            value = values[0] or values[1] or values[2]
+            name, value = name.lower(), values[0] or values[1] or values[2]
             if name in ("class", "id", "role", "aria-label", "itemprop"):
-                words.update(w.lower() for w in CLASS_WORD.findall(value))
+                found += [{w.lower() for w in CLASS_WORD.findall(token)} for token in value.split()]
             elif (name == "style" and HIDDEN.search(value)) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return -2
-    if tag in ("html", "body"):
-        return before
-    if tag in GOOD_TAGS:
-        return 1 if not words & {"comment", "comments", "reply"} else -2
-    if words & HARD_WORDS:
-        return -2
-    if tag in SOFT_TAGS:
-        return before if before == 1 else -1
-    if words & SOFT_WORDS:
-        return -1
-    return 1 if words & GOOD_WORDS and before != -1 else before
+                hidden = True
+    if tag in GOOD_TAGS and soft:
+        named, soft = False, False
+    if tag in OUTER_TAGS and not (tag == "header" and before.article):
+        outer, soft = (True, soft) if tag != "header" else (outer, True)
+        named = named or tag == "header"
+    if tag not in ("html", "body"):
+        for words in found:
+            telling = words - PLAIN_WORDS
+            bad = telling & OUTER_WORDS
+            if bad and bad == telling:
+                if not named and bad <= CLEARED and tag not in GOOD_TAGS:
+                    soft = True
+                elif not bad <= CLEARED:
+                    soft = False
+                named = True
+            elif bad:
+                mixed = True
+            elif telling & GOOD_WORDS:
+                good = True
+    return Around(article, good, outer, named, mixed, hidden, soft)
+
+
+class _Page:
+    """Looks ahead in a page. Whatever isn't found once isn't looked for again, so that all looks together are linear."""
+
+    def __init__(self, page: str):
+        self.page, self.missing, self.matched = page, set(), {}
+
+    def find(self, what: str, at: int) -> int:
+        """Place of ``what`` from ``at`` on, -1 if there is none."""
+        found = -1 if what in self.missing else self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: behind the next ``>`` outside of a quoted value; -1 if it doesn't."""
+        page = self.page
+        start = at
+        while True:
+            at = INSIDE.match(page, at).end()
+            if at >= len(page):
+                break
+            if page[at] == ">":
+                return at + 1
+            if page[at] in "\"'":
+                close = self.find(page[at], at + 1)
+                at = close + 1 if close >= 0 else at + 1
+            else:
+                at += 1
+        end = self.find(">", start)
+        return end + 1 if end >= 0 else -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element of raw text, or the end of the page."""
+        close = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(self.page, at)
+        end = self.find(">", close.end()) if close else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+    def element_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of the element whose start tag begins at ``at``, nested ones counted; -1 if it isn't closed."""
+        if tag not in self.matched:
+            ends, open_ = {}, []
+            for m in re.compile(f"<(/?){tag}(?=[\\s/>])", re.IGNORECASE).finditer(self.page):
+                if not m[1]:
+                    open_.append(m.start())
+                elif open_:
+                    end = self.find(">", m.end())
+                    ends[open_.pop()] = end + 1 if end >= 0 else len(self.page)
+            self.matched[tag] = ends
+        return self.matched[tag].get(at, -1)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page with text, in order. Broken markup is read as far as it goes."""
+    """The blocks of a page with text, in order, less what the page hides. Broken markup is read as far as it goes."""
     out: list[Block] = []
-    stack = [_Open("", 0, 0)]
+    stack = [_Open("", 0, Around())]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a kind are
     number = at = 0
     parts: list[str] = []
     shown = linked = 0
     in_link = unclosed = False
-    end = len(page)
+    end, ahead = len(page), _Page(page)
 
     def flush() -> None:
         nonlocal shown, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                top = stack[-1]
-                out.append(Block(text, top.tag, top.place, linked / max(1, shown), stack[-2].number if len(stack) > 1 else 0, stack[-3].number if len(stack) > 2 else 0))
+            top = stack[-1]
+            if text and not top.around.hidden:
+                out.append(Block(text, top.tag, top.around, linked / max(1, shown), stack[-2].number if len(stack) > 1 else 0, stack[-3].number if len(stack) > 2 else 0))
             parts.clear()
         shown = linked = 0
 
+    def close_from(i: int) -> None:
+        for element in reversed(stack[i:]):
+            places[element.tag].pop()
+        del stack[i:]
+
+    def last(tag: str) -> int:
+        found = places.get(tag)
+        return found[-1] if found else 0
+
     def take(text: str) -> None:
         nonlocal shown, linked
         parts.append(text)
@@ -114,21 +210,34 @@ def blocks_of(page: str) -> list[Block]:
         linked += n * in_link
 
     while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
+        start = ahead.find("<", at)
+        if start < 0:
             take(page[at:])
             break
-        if m.start() > at:
-            take(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if start > at:
+            take(page[at:start])
+        m = NAME.match(page, start)
+        if not m:
+            if page.startswith("<!--", start):
+                close = start + 1 if page.startswith(("<!-->", "<!--->"), start) else ahead.find("-->", start + 4)
+                at = end if close < 0 else page.index(">", close) + 1
+            elif page.startswith(("<!", "<?", "</"), start) and (close := ahead.find(">", start)) >= 0:
+                at = close + 1
+            else:
+                take("<")
+                at = start + 1
             continue
-        closing = bool(m[1] or m[4])
-        if tag in RAW:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                close = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(page, at)
-                at = close.end() if close else at if tag in ("option", "select") else end
+        after = ahead.tag_end(m.end())
+        if after < 0:  # no tag ends from here on
+            take(page[start:])
+            break
+        at, closing, tag, attributes = after, bool(m[1]), m[2].lower(), page[m.end() : after - 1]
+        if tag in RAW or tag in EMBEDDED:
+            if not closing and not attributes.endswith("/"):
+                if tag in RAW:
+                    at = ahead.raw_end(tag, at)
+                elif (close := ahead.element_end(tag, start)) >= 0:
+                    at = close
             continue
         if tag == "a":
             in_link = not closing
@@ -138,46 +247,67 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             in_link = in_link and not closing
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ("td", "th", "table") and tag in ("p", "div", "li"):
-                        break
+                i = last(tag)
+                if i and not (tag in ("p", "div", "li") and stack[-1].cell > i):
+                    close_from(i)
             else:
                 if tag in ENDS:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i].tag in ENDS[tag]:
-                            del stack[i:]
-                            break
-                        if stack[i].tag in HOLDERS:
-                            break
+                    i = max(map(last, ENDS[tag]))
+                    if i and i >= stack[-1].holder:
+                        close_from(i)
                 elif stack[-1].tag == "p":
-                    stack.pop()
+                    close_from(len(stack) - 1)
                 if tag not in VOID:
                     number += 1
-                    stack.append(_Open(tag, number, _place(tag, m[3] or m[6] or "", stack[-1].place)))
+                    top, here = stack[-1], len(stack)
+                    stack.append(_Open(tag, number, _around(tag, attributes, top.around), here if tag in HOLDERS else top.holder, here if tag in ("td", "th", "table") else top.cell))
+                    places.setdefault(tag, []).append(here)
         elif tag == "button" and not closing:
             close = None if unclosed else BUTTON_END.search(page, at)
             unclosed = not close
             at = close.start() if close else at
     flush()
+    home = [_is_home(b.around) for b in out]
+    if any(home):
+        for b, inside in zip(out, home, strict=True):
+            b.away = not inside
     return out
 
 
+def _is_home(around: Around) -> bool:
+    """Whether the elements around tell of an article, and none of boilerplate."""
+    return (around.article or around.good) and not (around.outer or around.named)
+
+
+def block_features(block: Block) -> list[float]:
+    """What the classifier sees: bias, words, share of link text, sentence end, heading, paragraph, item; the article, names of
+    content (both only without boilerplate around), elements of boilerplate, names of boilerplate, mixed names around it; whether
+    it's outside of the page's article."""
+    words, a = block.text.count(" ") + 1, block.around
+    clean = not (a.outer or a.named)
+    ends = block.text[-1] in ".!?:;\"'”»…)"
+    return [1.0, min(5.0, math.log1p(words)), block.link_share, ends, block.tag in HEADINGS, block.tag in ("p", "blockquote", "pre"), block.tag in ("li", "td", "th", "dt", "dd"), a.article and clean, a.good and clean, a.outer, a.named, a.mixed, block.away]
+
+
 def content_logit(block: Block) -> float:
-    """Classifier: logarithm of the odds that a block is content. Weights are fixed values."""
-    words = block.text.count(" ") + 1
-    z = -0.8 + 0.5 * min(5.0, math.log1p(words)) - 4.0 * block.link_share
-    z += 1.0 if block.text[-1] in ".!?:;\"'”»…)" else 0.0
-    z += 0.8 if block.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.6 if block.tag in ("p", "blockquote", "pre") else 0.0
-    return z + (0.0, 4.0, -10.0, -5.0)[block.place]
+    """Logarithm of the odds that a block is content."""
+    return sum(w * x for w, x in zip(WEIGHTS, block_features(block), strict=True))
+
+
+def fit_weights(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights of a logistic classifier over ``block_features`` by Newton steps with a ridge penalty."""
+    w = np.zeros(rows.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        slope = rows.T @ (p - labels) + ridge * w
+        w -= np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + ridge * np.eye(len(w)), slope)
+    return w
 
 
 def ties(blocks: list[Block]) -> dict[tuple[int, int], float]:
     """Smoothness edges between blocks (i < j) that follow each other or are near in the DOM.
 
-    They weaken with contrast: where the places or the shares of link text differ.
+    They weaken with contrast: where the elements around or the shares of link text differ.
     """
     edges: dict[tuple[int, int], float] = {}
     last_parent: dict[int, int] = {}
@@ -185,7 +315,7 @@ def ties(blocks: list[Block]) -> dict[tuple[int, int], float]:
 
     def tie(i: int, j: int, weight: float) -> None:
         a, b = blocks[i], blocks[j]
-        alike = (1.0 if a.place == b.place else OTHER_PLACE) * (1.0 - abs(a.link_share - b.link_share))
+        alike = (1.0 if a.around == b.around else OTHER_PLACE) * (1.0 - abs(a.link_share - b.link_share))
         edges[i, j] = edges.get((i, j), 0.0) + weight * max(0.0, alike)
 
     for j, b in enumerate(blocks):

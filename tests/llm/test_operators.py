@@ -1,8 +1,10 @@
 """The ten operators on small tables: odd rows, repeats, empty tables, clashing columns, brute force."""
 
 import hashlib
+import html
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -12,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.llm import exact_dedup, html_extract, mixing, packing, quality, queries, secret_scan, sharding, simhash, warc, weighted_sampling
+import synthetic_pages
 from lodestack.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, bucket string, size string, rank int, digest string, kept boolean, target int, `start` string"
@@ -390,8 +393,8 @@ def test_pack(spark):
 
 
 def test_archives(spark):
-    html = "<p>" + "payload " * 20 + "WARC/1.1\r\n\r\nfake</p>"
-    rows = [(5, "http://a.org/x", html), (3, "http://a.org/x", html), (8, None, html), (1, "http://b.org/ y\n?q=Ü", "short"), (2, "http://b.org/", "short"), (4, "", None), (7, "http://c.org", "é" * 60), (9, "http://c.org", "é" * 60), (9, "http://c.org", "é" * 60)]
+    page = "<p>" + "payload " * 20 + "WARC/1.1\r\n\r\nfake</p>"
+    rows = [(5, "http://a.org/x", page), (3, "http://a.org/x", page), (8, None, page), (1, "http://b.org/ y\n?q=Ü", "short"), (2, "http://b.org/", "short"), (4, "", None), (7, "http://c.org", "é" * 60), (9, "http://c.org", "é" * 60), (9, "http://c.org", "é" * 60)]
     pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, payload_bytes int, archive string")
     got = warc.archive_and_index(pages).toPandas().sort_values(["range_no", "place"])
     assert len(got) == len(rows) and got.intact.all()
@@ -474,6 +477,85 @@ def test_main_text(spark):
     assert by[2] == by[3] == "" and by[4] == "only text, no tags." and len(by[5]) == 249_999 and by[None] == "Body text."
 
 
+def labelled_blocks(seed, n, bare=0.2):
+    """Blocks and true labels of synthetic pages; that both are the same blocks is a test of the parser too."""
+    found = []
+    for page, truth in synthetic_pages.pages(seed, n, bare):
+        blocks = html_extract.blocks_of(page)
+        assert [b.text for b in blocks] == [html.unescape(t) for t, _ in truth]
+        found.append((blocks, [good for _, good in truth]))
+    return found
+
+
+def test_weights_are_those_of_the_fit():
+    rows = [(html_extract.block_features(b), good) for blocks, labels in labelled_blocks(1, 1500) for b, good in zip(blocks, labels, strict=True)]
+    x, y = np.array([r for r, _ in rows], float), np.array([g for _, g in rows], float)
+    assert np.allclose(np.round(html_extract.fit_weights(x, y, 5.0), 1), html_extract.WEIGHTS)
+
+
+def test_the_cut_mends_labels():
+    alone = cut = changed = total = 0
+    for blocks, labels in labelled_blocks(2, 1000, 0.4):
+        own = [html_extract.content_logit(b) for b in blocks]
+        found = html_extract.minimum_cut(own, html_extract.ties(blocks))
+        alone += sum((o > 0) == g for o, g in zip(own, labels, strict=True))
+        cut += sum(f == g for f, g in zip(found, labels, strict=True))
+        changed += sum((o > 0) != f for o, f in zip(own, found, strict=True))
+        total += len(labels)
+    assert changed > 120 and cut > alone + 50 and cut / total > 0.91
+
+
+def test_labels_of_real_pages_are_the_cheapest_of_all(spark):
+    choices = np.array(list(itertools.product([False, True], repeat=12)))
+    for (page,) in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
+        blocks = html_extract.blocks_of(page or "")[-12:]
+        own, edges = [html_extract.content_logit(b) / 4 for b in blocks], html_extract.ties(blocks)
+        every = choices[: 2 ** len(blocks), 12 - len(blocks) :]
+        costs = every @ -np.array(own, float) + sum((w * (every[:, i] != every[:, j]) for (i, j), w in edges.items()), np.zeros(len(every)))
+        label = html_extract.minimum_cut(own, edges)
+        got = -sum(o for o, x in zip(own, label, strict=True) if x) + sum(w for (i, j), w in edges.items() if label[i] != label[j])
+        assert got == pytest.approx(costs.min(), abs=1e-6)
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a href="', "<button>", "<svg>", "</script ", "<!--", "<a ", "<p>", '<div class="a', "<a b='\"' ", "<div>", "<object>", "<td>", "<li>", "</li><div>", "<table><td><li>", "&#", "<p>a", "<li><a>x</a>", "<![", "<textarea>"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    page = part * (200_000 // len(part))
+    began = time.time()
+    html_extract.main_text(page)
+    html_extract.main_text("<li><td>" + page + "</li>" * 20_000)
+    assert time.time() - began < 8
+
+
+@pytest.mark.parametrize("tag", ["svg", "object", "noscript", "audio", "canvas", "video", "template", "math"])
+def test_embedded_elements(tag):
+    start, rest = "<article><p>A first sentence of the text.</p>", "<p>The rest of the article.</p></article>"
+    want = "A first sentence of the text.\nThe rest of the article."
+    assert html_extract.main_text(f"{start}<{tag} class=x>{rest}") == want
+    assert html_extract.main_text(f"{start}<{tag}><i>fallback</i><{tag}>inner</{tag}> more fallback.</{tag.upper()} >{rest}") == want
+
+
+def test_names_in_an_article_do_not_hide_it():
+    text = "<h1>A title</h1><p class='social-science'>A paragraph on social science.</p><p>Another sentence.</p>"
+    want = "A title\nA paragraph on social science.\nAnother sentence."
+    assert html_extract.main_text(f"<nav><a href=/>Home</a></nav><article>{text}</article>") == want
+    assert html_extract.main_text(f"<div id='content-search'><article>{text}</article></div>") == want
+    assert html_extract.main_text(f"<article id='content-search'>{text}<aside class='related'><p>Read more of this.</p></aside></article>") == want
+
+
+def test_extraction_query_by_the_function(spark):
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = queries.op4_html_extract(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(pages)
+    for r in got:
+        page = pages[r.page_id].html or ""
+        article = page[page.find("<article>") : page.find("</article>")]
+        assert r.n_chars == len(r.text) and r.text == html_extract.main_text(page)
+        spaced = re.sub("<(br|p|h1|/p|/h1|li|/li|ul|/ul|h2|/h2|div|/div)( [^>]*)?>", " ", article)
+        assert r.text.split() == html.unescape(re.sub("<[^>]*>", "", spaced)).split()
+
+
 def test_long_buttons_are_no_text():
     button = "<button>{}Share</BUTTON>".format(f'<i data-path="{"M1 2 " * 800}"></i>')
     assert html_extract.main_text(PAGE.replace("First", button + "First")) == html_extract.main_text(PAGE)
@@ -584,8 +666,6 @@ def test_secret_spans(spark):
 
 
 def test_hex_runs_against_the_pattern():
-    import re
-
     rnd = random.Random(8)
     for _ in range(200):
         text = "".join(rnd.choice(["g", "é", "🎉", "a" * 31, "0" * 32, "f3" * 20, " "]) for _ in range(12))
