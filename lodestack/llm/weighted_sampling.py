@@ -17,6 +17,8 @@ from .common import WORD_SPLIT, text_or_empty
 SAMPLES, SEED = 32, 11
 #: Buckets of neighbouring ids: coarse ones, fine ones in each of them, sampled ids for each fine one at least.
 COARSE, FINE, PER_BOUND = 64, 64, 8
+#: Documents of a task, whose words are counted in memory, and most tasks; beyond them tasks grow, and spill.
+PER_TASK, MOST_TASKS = 512, 1 << 14
 
 
 def _unit(bits: Column) -> Column:
@@ -24,18 +26,14 @@ def _unit(bits: Column) -> Column:
     return (bits.bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) * F.lit(2.0**-21)
 
 
-def draws(term: Column, k: int, seed: int = SEED) -> Column:
-    """The k-th draw of a term, whatever its weight: r, ln c and b."""
+def sample(term: Column, log_weight: Column, k: int, seed: int = SEED) -> Column:
+    """The k-th draw of a term as one long that orders as a does: 43 bits of ln a, 20 bits of a hash of (term, t)."""
     one, two = F.xxhash64(term, F.lit(seed + 2 * k)), F.xxhash64(term, F.lit(seed + 2 * k + 1))
     r = -F.ln(_unit(one) * _unit(F.shiftrightunsigned(one, 21)))
     log_c = F.ln(-F.ln(_unit(two) * _unit(F.shiftrightunsigned(two, 21))))
-    return F.struct(r.alias("r"), log_c.alias("log_c"), _unit(F.shiftrightunsigned(one, 42)).alias("b"))
-
-
-def sample(term: Column, log_weight: Column, draw: Column) -> Column:
-    """The sample of a term's draw as one long that orders as a does: 43 bits of ln a, 20 bits of a hash of (term, t)."""
-    t = F.floor(log_weight / draw["r"] + draw["b"])
-    log_a = draw["log_c"] - draw["r"] * (t.cast("double") - draw["b"] + 1.0)
+    b = _unit(F.shiftrightunsigned(one, 42))
+    t = F.floor(log_weight / r + b)
+    log_a = log_c - r * (t.cast("double") - b + 1.0)
     place = F.least(F.greatest(F.floor((log_a + 512.0) * F.lit(float(1 << 32))), F.lit(0)), F.lit((1 << 43) - 1)).cast("long")
     return F.shiftleft(place, 20).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << 20) - 1)))
 
@@ -43,13 +41,11 @@ def sample(term: Column, log_weight: Column, draw: Column) -> Column:
 def signatures(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """keys, and in a column named after each of ``weights`` the signature by it (array of longs; null if nothing draws).
 
-    ``terms`` has keys, term (long) and the weights (long); a null term and a weight of 0 draw nothing. All weights of a
-    term share its draws.
+    ``terms`` has keys, term (long) and the weights (long); a null term and a weight of 0 draw nothing.
     """
     logs = (F.when(F.col("term").isNotNull() & (F.col(w) > 0), F.ln(F.col(w).cast("double"))).alias(w) for w in weights)
-    drawn = terms.select(*keys, "term", *logs, *(draws(F.col("term"), k, seed).alias(f"draw{k}") for k in range(samples)))
-    least = lambda w, k: F.min(F.when(F.col(w).isNotNull(), sample(F.col("term"), F.col(w), F.col(f"draw{k}"))))
-    found = drawn.groupBy(*keys).agg(*(least(w, k).alias(f"{w}{k}") for w in weights for k in range(samples)))
+    least = lambda w, k: F.min(F.when(F.col(w).isNotNull(), sample(F.col("term"), F.col(w), k, seed)))
+    found = terms.select(*keys, "term", *logs).groupBy(*keys).agg(*(least(w, k).alias(f"{w}{k}") for w in weights for k in range(samples)))
     return found.select(*keys, *(F.when(F.col(f"{w}0").isNotNull(), F.array(*(F.col(f"{w}{k}") for k in range(samples)))).alias(w) for w in weights))
 
 
@@ -98,6 +94,7 @@ def with_next(docs: DataFrame, coarse: int = COARSE, fine: int = FINE) -> DataFr
     first = keyed.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key")))
     copies = first.select("doc_id", "text", "text_key", F.col("before").alias("bucket"), F.lit(True).alias("is_head"))
     rows = own.select("doc_id", "text", "text_key", "bucket", F.lit(False).alias("is_head")).unionByName(copies)
+    rows = rows.repartition(max(1, min(MOST_TASKS, -(-docs.count() // PER_TASK))), "bucket")
     inside = Window.partitionBy("bucket").orderBy("is_head", "doc_id", "text_key")
     return rows.withColumn("place", F.row_number().over(inside)).withColumn("next_text", F.lead("text").over(inside))
 
