@@ -3,8 +3,13 @@
 Trusted positives and unlabelled text are told apart by a small network over text statistics that minimises the
 non-negative unbiased risk: with class prior p, the risk of calling a text bad is estimated from the unlabelled texts
 less p times that of the positives, and when this estimate falls below zero the step goes against it, so that the
-network doesn't learn the unlabelled texts by heart. Means and scales of the statistics are those of all texts that aren't held out, the fit takes a bounded sample of labelled texts
-and a share of all others, scores cover every whole text.
+network doesn't learn the unlabelled texts by heart.
+
+Every text that isn't held out counts as unlabelled. The driver doesn't get their rows, but cells: texts on the same side
+of each of ``PLANES`` random planes through the mean are one cell, which one of them stands for with the weight of all, so
+that what it gets is bounded while all texts have their weight. The prior is estimated from positives and unlabelled texts
+alone: a first network scores them all, and the share of unlabelled texts above a score, over the share of positives above
+it, is nearest the prior where it is least.
 """
 
 from __future__ import annotations
@@ -19,13 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, materialise, text_or_empty
 
-#: Most rows that the fit takes of the positives and of labelled negatives to choose the prior.
-FIT_POSITIVES, FIT_NEGATIVES = 6000, 3000
-#: Unlabelled texts of the fit: all up to so many, beyond it a share that grows with the input. Rows of a step at once.
-FIT_UNLABELLED, FIT_SHARE, BLOCK_ROWS = 12000, 0.1, 1 << 16
+#: Most labelled positives that the fit takes.
+FIT_POSITIVES = 6000
+#: Planes between the cells of unlabelled texts: 2 ** PLANES cells at most, each 200 bytes. Rows of a step at once.
+PLANES, BLOCK_ROWS = 14, 1 << 16
 HIDDEN, STEPS, RATE, DECAY, SEED = 16, 300, 0.03, 1e-4, 5
-#: The prior where no negative is labelled, the bounds of its estimate, and the shares of the labelled rate tried for it.
-DEFAULT_PRIOR, PRIOR_BOUNDS, PRIOR_SHARES = 0.7, (0.05, 0.95), (1.0, 0.9, 0.8, 0.65)
+#: The prior for the first network and where none can be estimated, the bounds of its estimate, the estimate's confidence.
+DEFAULT_PRIOR, PRIOR_BOUNDS, DOUBT = 0.5, (0.05, 0.95), 0.1
+#: Standardised statistics are cut off here. Bins of scores that the prior is estimated from.
+MOST, BINS = 8.0, 4096
 
 _CLASS = np.zeros((256, 9))
 for _i, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!?", b"#$%&*@^~+=", b"|<>{}[]\\/_", b" \t", b"\n\r")):
@@ -83,7 +90,7 @@ class Model:
     prior: float
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((np.clip((x - self.mean) / self.scale, -8, 8)) @ self.w1 + self.b1) @ self.w2 + self.b2
+        return np.tanh((np.clip((x - self.mean) / self.scale, -MOST, MOST)) @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
@@ -93,17 +100,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED, moments: tuple[np.ndarray, np.ndarray] | None = None, weights_of_u: np.ndarray | None = None) -> Model:
     """Minimises the non-negative unbiased risk with the logistic loss, by full-batch Adam steps.
 
-    ``moments`` are the statistics' means and deviations, by default those of the rows given.
+    ``moments`` are the statistics' means and deviations, by default those of the rows given; ``weights_of_u`` how many
+    texts each row of ``unlabelled`` stands for, by default one.
     """
     rng = np.random.default_rng(seed)
     if moments is None:
         every = np.concatenate([positive, unlabelled])
         moments = every.mean(0), every.std(0)
     mean, scale = moments[0], moments[1] + 1e-6
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
+    p, u = (np.clip((x - mean) / scale, -MOST, MOST) for x in (positive, unlabelled))
+    part = np.full(len(u), 1 / len(u)) if weights_of_u is None else weights_of_u / weights_of_u.sum()
     weights = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
 
@@ -111,17 +120,17 @@ def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
         inner = slope[:, None] * weights[2] * (1 - hidden**2)
         return [x.T @ inner, inner.sum(0), hidden.T @ slope, np.array([slope.sum()])]
 
-    blocks = [u[i : i + BLOCK_ROWS] for i in range(0, len(u), BLOCK_ROWS)]
+    blocks = [(u[i : i + BLOCK_ROWS], part[i : i + BLOCK_ROWS]) for i in range(0, len(u), BLOCK_ROWS)]
     for step in range(1, STEPS + 1):
         hp = np.tanh(p @ weights[0] + weights[1])
         zp = hp @ weights[2] + weights[3]
         loss, of_u = 0.0, [np.zeros_like(w) for w in weights]
-        for block in blocks:
+        for block, share in blocks:
             hu = np.tanh(block @ weights[0] + weights[1])
             zu = hu @ weights[2] + weights[3]
-            loss += np.logaddexp(0, zu).sum()
-            of_u = [a + b for a, b in zip(of_u, back(block, hu, _sigmoid(zu) / len(u)), strict=True)]
-        negative = loss / len(u) - prior * np.logaddexp(0, zp).mean()
+            loss += share @ np.logaddexp(0, zu)
+            of_u = [a + b for a, b in zip(of_u, back(block, hu, _sigmoid(zu) * share), strict=True)]
+        negative = loss - prior * np.logaddexp(0, zp).mean()
         at_p = -prior * _sigmoid(zp) / len(zp)  # slopes of the negative part
         if negative < 0:
             at_p, of_u = -at_p, [-x for x in of_u]
@@ -143,37 +152,78 @@ def _matrix(rows: DataFrame) -> np.ndarray:
     return x[np.lexsort(x.T[::-1])]
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, unlabelled: int = FIT_UNLABELLED, seed: int = SEED) -> Model:
-    """Fits on at most ``positives`` labelled good rows, those first in a seeded order, and on ``unlabelled`` rows or a share
-    of ``FIT_SHARE`` of all, whichever is more. The statistics' means and scales are those of all rows.
+def estimate_prior(of_positives: np.ndarray, of_unlabelled: np.ndarray, weights: np.ndarray, doubt: float = DOUBT) -> float:
+    """Share of positives among the unlabelled, from the scores of both by a network that ranks them.
+
+    Above any score lie at least as many of the unlabelled as the positives among them, so that the share of the unlabelled
+    above it over that of the positives bounds the prior. The bound is taken where it is least, with a margin for the
+    chance in few rows (``doubt``: probability of an error beyond it).
+    """
+    n_p, n_u = len(of_positives), weights.sum()
+    margin = np.sqrt(np.log(4 / doubt) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))
+    at = np.unique(of_positives)
+    above_p = 1 - np.searchsorted(np.sort(of_positives), at) / n_p
+    order = np.argsort(of_unlabelled)
+    below = np.concatenate([[0.0], np.cumsum(weights[order])])
+    above_u = 1 - below[np.searchsorted(of_unlabelled[order], at)] / n_u
+    best = np.argmin((above_u + margin) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], *PRIOR_BOUNDS))
+
+
+def cells_of(rows: DataFrame, columns: list[str], mean: np.ndarray, scale: np.ndarray, planes: int = PLANES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each cell, that with the least ``place``, and the number of its rows, in the order of the cells' codes."""
+    normals = np.random.default_rng(seed).normal(size=(planes, len(columns)))
+    z = [F.greatest(F.least((F.col(c) - F.lit(float(m))) / F.lit(float(s)), F.lit(MOST)), F.lit(-MOST)) for c, m, s in zip(columns, mean, scale, strict=True)]
+    standard = rows.select("place", F.struct(*columns).alias("own"), *(x.alias(c) for x, c in zip(z, columns, strict=True)))
+    side = lambda normal: sum((F.col(c) * F.lit(float(v)) for c, v in zip(columns[1:], normal[1:], strict=True)), F.col(columns[0]) * F.lit(float(normal[0]))) > 0
+    code = sum((F.shiftleft(side(n).cast("int"), i) for i, n in enumerate(normals[1:], 1)), side(normals[0]).cast("int"))
+    first = F.min_by("own", F.struct("place", "own")).alias("own")
+    found = standard.select("place", "own", code.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), first).orderBy("cell").select("n", "own.*").toArrow()
+    return np.column_stack([found.column(c).to_numpy() for c in columns]).astype(float).reshape(-1, len(columns)), found.column("n").to_numpy().astype(float)
+
+
+def score_counts(rows: DataFrame, columns: list[str], model: Model) -> np.ndarray:
+    """How many of all rows score in each of ``BINS`` bins of the model's logit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"bin": bins_of(model.logit(batch[columns].to_numpy(float)))})
+
+    counts = rows.select(*columns).mapInPandas(run, "bin long").groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    out = np.zeros(BINS)
+    for r in counts:
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def bins_of(logit: np.ndarray) -> np.ndarray:
+    return np.clip((logit + 30) / 60 * BINS, 0, BINS - 1).astype(np.int64)
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = FIT_POSITIVES, planes: int = PLANES, seed: int = SEED) -> Model:
+    """Fits on at most ``positives`` labelled good rows, those first in a seeded order, and on the cells of all rows.
 
-    Rows held out (see ``is_held_out``) are not used at all. The class prior is estimated: shares of the rate of good
-    rows among the labelled are tried (a prior too high would hide the bad), and that stays whose network tells the
-    labelled rows apart best, of equal ones the highest. Ids with contradicting labels count as unlabelled. Without
-    positives every text scores the prior.
+    Rows held out (see ``is_held_out``) are not used at all; rows labelled bad count as unlabelled like all others, as do
+    ids with contradicting labels. Without positives every text scores ``DEFAULT_PRIOR``. Half of the positives train the
+    first network, the other half estimates the prior by it.
     """
-    known = labels.where(~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high").select("doc_id", F.col("low").alias("quality"))
-    shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    good, bad = shares.get(1, 0), shares.get(0, 0)
-    prior = float(np.clip(good / (good + bad), *PRIOR_BOUNDS)) if good and bad else DEFAULT_PRIOR
+    good = labels.where(~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1").select("doc_id")
     texts = docs.select("doc_id", text_or_empty().alias("text")).where(~is_held_out() & F.col("doc_id").isNotNull())
     every = features(texts).groupBy("doc_id").agg(F.min("x").alias("x"))
     every = materialise(every.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("place"), *(F.col("x")[i].alias(f"x{i}") for i in range(FEATURES))), "quality-features")
     columns = [f"x{i}" for i in range(FEATURES)]
-    n, *moments = every.agg(F.count(F.lit(1)), *(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns)).first()
-    first = lambda rows, n: rows.orderBy("place", "doc_id").limit(n).select(*columns)
-    labelled = lambda q, n: _matrix(first(every.join(known.where(F.col("quality") == q), "doc_id", "left_semi"), n))
-    share = every.where(F.shiftrightunsigned("place", 11).cast("double") * 2.0**-53 < FIT_SHARE).select(*columns)
-    p, u = labelled(1, positives), _matrix(share if n * FIT_SHARE > unlabelled else first(every, unlabelled))
-    if not len(p) or not len(u):
+    n, *found = every.agg(F.count(F.lit(1)), *(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns)).first()
+    p = _matrix(every.join(good, "doc_id", "left_semi").orderBy("place", "doc_id").limit(positives).select(*columns))
+    if not len(p) or not n:
         zero = np.zeros(FEATURES)
-        return Model(zero, zero + 1, np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(prior / (1 - prior))), prior)
-    negatives = labelled(0, FIT_NEGATIVES)
-    known_moments = np.array(moments[:FEATURES], float), np.array(moments[FEATURES:], float)
-    if not len(negatives):
-        return fit_non_negative(p, u, prior, seed, known_moments)
-    models = [fit_non_negative(p, u, float(np.clip(prior * share, *PRIOR_BOUNDS)), seed, known_moments) for share in PRIOR_SHARES]
-    return max(models, key=lambda m: round(float((m.score(p) >= 0.5).mean() + (m.score(negatives) < 0.5).mean()), 3))
+        return Model(zero, zero + 1, np.zeros((FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(DEFAULT_PRIOR / (1 - DEFAULT_PRIOR))), DEFAULT_PRIOR)
+    moments = np.array(found[:FEATURES], float), np.array(found[FEATURES:], float)
+    u, weights = cells_of(every, columns, moments[0], moments[1] + 1e-6, planes, seed)
+    half = p[::2], p[1::2] if len(p) > 1 else p
+    first = fit_non_negative(half[0], u, DEFAULT_PRIOR, seed, moments, weights)
+    counts = score_counts(every, columns, first)
+    prior = estimate_prior(bins_of(first.logit(half[1])).astype(float), np.arange(BINS, dtype=float), counts)
+    return fit_non_negative(p, u, prior, seed, moments, weights)
 
 
 def rate(model: Model):

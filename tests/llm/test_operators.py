@@ -597,19 +597,35 @@ def test_non_negative_risk_separates():
     assert (model.score(u[:300]) > 0.5).mean() > 0.95 and (model.score(u[300:]) < 0.5).mean() > 0.95
 
 
-def test_fit_takes_moments_of_all_and_a_share_that_grows(spark, monkeypatch):
+def test_prior_is_estimated_from_positives_and_unlabelled():
+    rng = np.random.default_rng(1)
+    for prior in (0.15, 0.5, 0.8):
+        n = 6000
+        u = np.concatenate([rng.normal(2, 1, int(prior * n)), rng.normal(-2, 1, n - int(prior * n))])
+        assert abs(quality.estimate_prior(rng.normal(2, 1, 1500), u, np.ones(n)) - prior) < 0.05
+        assert abs(quality.estimate_prior(rng.normal(2, 1, 1500), u[::2], np.full(n // 2, 2.0)) - prior) < 0.06
+
+
+def test_cells_stand_for_all_rows(spark):
     rnd = random.Random(13)
     rows = [(i, " ".join(words_of(rnd, rnd.randint(5, 60))), "s") for i in range(900)]
-    docs = docs_of(spark, rows)
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
-    sizes = []
-    fit = quality.fit_non_negative
-    monkeypatch.setattr(quality, "fit_non_negative", lambda p, u, *rest: sizes.append(len(u)) or fit(p, u, *rest))
-    model = quality.train(docs, labels, unlabelled=20)
-    open_ = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
-    x = np.array([quality.text_features(t) for t in open_])
+    model = quality.train(docs_of(spark, rows), labels)
+    x = np.array([quality.text_features(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1])
     assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6)
-    assert min(sizes) > 20 and abs(sizes[0] - len(open_) / 10) < 30
+    columns = [f"x{i}" for i in range(x.shape[1])]
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=columns).assign(place=range(len(x))))
+    cells, n = quality.cells_of(rows, columns, model.mean, model.scale, 6)
+    assert n.sum() == len(x) and len(n) <= 64 and {tuple(c) for c in cells} <= {tuple(r) for r in x}
+    assert np.array_equal(quality.score_counts(rows, columns, model), np.bincount(quality.bins_of(model.logit(x)), minlength=quality.BINS))
+
+
+def test_quality_query_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    got = queries.op8_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert len(got) > 50 and (got.predicted == got.quality).mean() > 0.95
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    assert (good[:, None] > bad[None, :]).mean() > 0.98
 
 
 # --- 10
