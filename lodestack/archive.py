@@ -2,7 +2,9 @@
 
 An ``Archive`` doesn't change: every command gives a new one, and nothing is stored before ``write``. Stored archives
 are folders of Parquet tables, one folder per version; the last step of a write names the current version, so that
-readers see the old or the new one.
+readers see the old or the new one: it makes a file with the next number that names the version, and readers take the
+greatest that is whole. Nothing is deleted or renamed, so that a crash leaves the old version; of two writers that take the
+same number one fails.
 
 images: image_index, properties (NAME, DESCRIPTION, FLAGS, ...)
 entries: image_index, path, is_directory, attributes, size, hash, created, written, accessed, link_id
@@ -14,11 +16,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.values import ATTRIBUTES
-from .operators import combine, dedup, select, verify
+from .operators import combine, dedup, iterate, select, verify
 from .plans.durable import materialise
 from .sources.archive import build_xml
 
@@ -32,10 +35,16 @@ class ArchiveError(Exception):
     """A command that can't be carried out."""
 
 
-def _current(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+#: Pointers to versions are files of this name and a number; the greatest one that is whole counts.
+POINTER = "CURRENT-"
+
+
+def _pointers(spark: SparkSession, path: str) -> tuple[list[int], object]:
+    """Numbers of the pointers at ``path``, ascending, and the store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(where)] if store.exists(where) else []
+    return sorted(int(n[len(POINTER) :]) for n in names if n.startswith(POINTER) and n[len(POINTER) :].isdigit()), store
 
 
 @dataclass(frozen=True)
@@ -57,10 +66,13 @@ class Archive:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Archive:
         """The current version of a stored archive."""
-        line = spark.read.text(f"{path}/CURRENT").first()
-        if line is None:
+        for number in reversed(_pointers(spark, path)[0]):
+            line = spark.read.text(f"{path}/{POINTER}{number:010d}").first()
+            if line is not None and len(line[0].split()) == 4 and line[0].endswith(" ."):
+                break
+        else:
             raise ArchiveError(f"no archive at {path}")
-        version, guid, boot = line[0].split()
+        version, guid, boot, _ = line[0].split()
         read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{version}/{name}")
         return cls(spark, read("images", IMAGES), read("entries", ENTRIES), read("contents", CONTENTS), guid, int(boot))
 
@@ -71,14 +83,14 @@ class Archive:
         self.entries.repartition("image_index", "path").write.parquet(f"{path}/{version}/entries")
         kept = self.contents if with_external else self.contents.where("not is_external")
         kept.write.parquet(f"{path}/{version}/contents")
-        where, store = _current(self.spark, path)
-        fresh = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/CURRENT")
-        out = store.create(fresh, True)
-        out.write(bytearray(f"{version} {self.guid} {self.boot_index}\n".encode()))
-        out.close()
-        store.delete(where, False)
-        if not store.rename(fresh, where):
-            raise ArchiveError(f"the new version at {path} couldn't be made current")
+        numbers, store = _pointers(self.spark, path)
+        number = numbers[-1] + 1 if numbers else 0
+        try:
+            out = store.create(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}{number:010d}"), False)
+            out.write(bytearray(f"{version} {self.guid} {self.boot_index} .\n".encode()))
+            out.close()
+        except Py4JJavaError as e:
+            raise ArchiveError(f"another version was written to {path} at the same time") from e
         return Archive.open(self.spark, path)
 
     # --- images
@@ -193,6 +205,25 @@ class Archive:
         content = F.when(lost, F.raise_error(F.concat(F.lit("the content is missing: "), "path")).cast("binary")).when(~F.col("is_directory"), F.coalesce("content", F.lit(b""))).otherwise(F.col("content"))
         return joined.withColumn("content", content)
 
+    def cat(self, image: int | str, path: str, out) -> int:
+        """Writes the content of one file to a binary stream, such as ``sys.stdout.buffer``; returns its size."""
+        found = self.tree(image).where(F.col("path") == path).select("path", "is_directory", "hash").limit(1)
+        row = found.first()
+        if row is None:
+            raise FileNotFoundError(path)
+        if row["is_directory"]:
+            raise IsADirectoryError(path)
+        if row["hash"] is None:
+            return 0
+        blob = self.contents.where(F.col("hash") == row["hash"]).select("content").first()
+        if blob is None:
+            raise ArchiveError(f"the content is missing: {path}")
+        return out.write(bytes(blob["content"]))
+
+    def iterate(self, image: int | str, callback, top: str = "/", children_only: bool = False) -> int:
+        """Calls ``callback`` for each entry in the order of a walk; a result other than 0 or None ends it."""
+        return iterate.iterate_tree(self.tree(image), callback, top, children_only)
+
     def reuse_template(self, image: int | str, template: int | str, other: Archive | None = None) -> DataFrame:
         """Files of an image whose times and sizes tell that a template has their content: path, hash, ..."""
         files = lambda a, i: a.tree(i).where("not is_directory").select("path", F.lit("data").alias("stream_type"), F.lit("").alias("stream_name"), "size", "hash", "created", "written", "accessed")
@@ -232,6 +263,17 @@ class Archive:
             contents = contents.unionByName(new.withColumn("is_external", F.lit(True)).select(*contents.columns))
         return replace(self, contents=contents)
 
+    def reference_files(self, patterns: list[str]) -> Archive:
+        """With the contents that it lacks taken from stored archives; a pattern without a match stands for itself, and is an
+        error if there is no such archive."""
+        jvm = self.spark.sparkContext._jvm
+        found: list[str] = []
+        for pattern in patterns:
+            where = jvm.org.apache.hadoop.fs.Path(pattern)
+            matches = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+            found += sorted(m.getPath().toString() for m in matches) or [pattern]
+        return self.reference([Archive.open(self.spark, path) for path in dict.fromkeys(found)])
+
     def split(self, limit: int) -> DataFrame:
         """The contents with part_number (from 1) and total_parts: parts of up to ``limit`` bytes in the order of digests."""
         from .plans.durable import global_rank

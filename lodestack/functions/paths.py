@@ -61,8 +61,12 @@ def under(path: Cols, top: Cols) -> Column:
 
 
 def fold(name: Cols) -> Column:
-    """Key for comparison without regard to case: a-z as A-Z."""
-    return F.translate(_c(name), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    """Key for comparison without regard to case: every 16-bit character as its capital, if that is one such character."""
+    n = _c(name)
+    plain = F.translate(n, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    single = lambda c: F.octet_length(F.encode(c, "UTF-16BE")) == 2
+    each = F.transform(F.split(n, ""), lambda c: F.when(single(c) & single(F.upper(c)), F.upper(c)).otherwise(c))
+    return F.when(n.rlike("[^\\x00-\\x7F]"), F.array_join(each, "")).otherwise(plain)
 
 
 def order_key(name: Cols) -> Column:

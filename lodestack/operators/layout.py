@@ -9,9 +9,9 @@ from ..functions.paths import basename, extension, fold, order_key
 
 
 def overlaps(extents: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Extents (group, start, size) that begin before the one in front of them in their group ends."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return extents.withColumn("before_end", F.lag(F.col("start") + F.col("size")).over(w)).where("start < before_end")
+    """Extents (group, start, size) that begin before any of those in front of them in their group ends."""
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return extents.withColumn("before_end", F.max(F.col("start") + F.col("size")).over(w)).where("start < before_end")
 
 
 def out_of_bounds(extents: DataFrame, end: int) -> DataFrame:
@@ -29,12 +29,17 @@ def assign_resources(blobs: DataFrame, resources: DataFrame, run: str) -> DataFr
     """The first resource of a run whose end covers each blob's end: adds resource_no, offset_in_res.
 
     ``blobs`` has run, offset (from the start of the run's data) and size; ``resources`` has run, resource_no and usize.
-    A blob that straddles two resources gets a negative offset, which validation refuses.
+    A blob that straddles two resources gets a negative offset, which validation refuses; one beyond them all is left out.
+    Blobs and ends are merged in one order from the back, so that a run with many of both takes no pairs.
     """
     w = Window.partitionBy(run).orderBy("resource_no").rowsBetween(Window.unboundedPreceding, 0)
-    ends = resources.withColumn("res_end", F.sum("usize").over(w)).select(F.col(run).alias("res_run"), "resource_no", "res_end", (F.col("res_end") - F.col("usize")).alias("res_start"))
-    end = F.col("offset") + F.col("size")
-    inside = blobs.join(ends, (F.col(run) == F.col("res_run")) & (end <= F.col("res_end")) & (end > F.col("res_start")))
+    ends = resources.withColumn("res_end", F.sum("usize").over(w))
+    found = F.struct("resource_no", (F.col("res_end") - F.col("usize")).alias("res_start"))
+    marks = ends.where("usize > 0").select(run, F.col("res_end").alias("place"), F.lit(0).alias("kind"), found.alias("found"))
+    wanted = blobs.select(F.col(run), (F.col("offset") + F.col("size")).alias("place"), F.lit(1).alias("kind"), F.struct(*blobs.columns).alias("blob"))
+    back = Window.partitionBy(run).orderBy(F.col("place").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = marks.unionByName(wanted, allowMissingColumns=True).withColumn("found", F.last("found", ignorenulls=True).over(back))
+    inside = merged.where((F.col("kind") == 1) & F.col("found").isNotNull() & (F.col("place") > 0)).select("blob.*", "found.*")
     return inside.select(*blobs.columns, "resource_no", (F.col("offset") - F.col("res_start")).alias("offset_in_res"))
 
 

@@ -95,23 +95,22 @@ def first_by_path(entries: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 def materialise_paths(nodes: DataFrame, most_depth: int = 16384) -> DataFrame:
     """Full paths and depths of a tree given as id, parent_id (null: top), name; a cycle or a lost parent gives no row.
 
-    Parents are joined level by level; the loop ends with the first empty level.
+    Every round doubles the stretch of ancestors that each node's path covers, so that there are as many rounds as the
+    depth has bits. A deeper tree than ``most_depth`` is an error.
     """
     from ..plans.durable import materialise
 
-    level = nodes.where("parent_id is null").select("id", F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth"))
-    level, out = materialise(level, "paths"), []
-    for step in range(most_depth):
-        if level.isEmpty():
+    now = materialise(nodes.select("id", F.col("parent_id").alias("above"), F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth")), "paths")
+    for _ in range(most_depth.bit_length() + 1):
+        open_ = now.where("above is not null")
+        if open_.isEmpty():
             break
-        out.append(level)
-        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = materialise(nodes.join(above, "parent_id").select("id", F.concat("above", F.lit("/"), "name").alias("path"), F.lit(step + 2).alias("depth")), "paths")
-    else:
+        upper = now.select(F.col("id").alias("u_id"), F.col("above").alias("u_above"), F.col("path").alias("u_path"), F.col("depth").alias("u_depth"))
+        joined = open_.join(upper, F.col("above") == F.col("u_id")).select("id", F.col("u_above").alias("above"), F.concat("u_path", "path").alias("path"), (F.col("depth") + F.col("u_depth")).alias("depth"))
+        now = materialise(now.where("above is null").unionByName(joined.where(F.col("above").isNull() | (F.col("depth") <= 2 * most_depth))), "paths")
+    whole = now.where("above is null").drop("above")
+    if not whole.where(F.col("depth") > most_depth).isEmpty():
         raise ValueError("the tree is deeper than allowed")
-    whole = out[0] if out else level
-    for x in out[1:]:
-        whole = whole.unionByName(x)
     return whole
 
 

@@ -22,7 +22,14 @@ def verify_archive(streams: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def integrity_chunks(files: DataFrame, chunk: int) -> DataFrame:
-    """Digest of every slice of ``chunk`` characters or bytes of content: id, chunk_no, sha1, length."""
+    """Digest of every slice of ``chunk`` characters (text) or bytes (binary) of content: id, chunk_no, sha1, length.
+
+    A text is cut in one pass; slices of bytes are found without one.
+    """
+    if files.schema["content"].dataType.simpleString() == "string":
+        pieces = F.regexp_extract_all("content", F.lit(f"(?s)(.{{1,{chunk}}})"), 1)
+        cut = files.select("id", F.posexplode(pieces).alias("chunk_no", "piece"))
+        return cut.select("id", "chunk_no", F.sha1("piece").alias("sha1"), F.length("piece").alias("length"))
     n = F.length("content")
     each = files.select("id", "content", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / chunk), F.lit(0)).cast("int"))).alias("chunk_no"))
     piece = F.substring(F.col("content"), F.col("chunk_no") * chunk + 1, F.lit(chunk))

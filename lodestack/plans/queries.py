@@ -281,7 +281,7 @@ _UNIQUE = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
 @_query(f"""
-    WITH e AS (SELECT *, l_linenumber * 40 AS start FROM {_EXTENTS}), o AS (SELECT *, lag(start + size) OVER (PARTITION BY res ORDER BY start, l_partkey, l_suppkey) AS before_end FROM e)
+    WITH e AS (SELECT *, l_linenumber * 40 AS start FROM {_EXTENTS}), o AS (SELECT *, max(start + size) OVER (PARTITION BY res ORDER BY start, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_end FROM e)
     SELECT res, start, size, l_partkey, l_suppkey, before_end FROM o WHERE start < before_end""")
 def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     extents = _extents(spark, sf_dir).withColumn("start", (F.col("l_linenumber") * 40).cast("long"))
@@ -413,7 +413,7 @@ def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""
     WITH f AS {_FILES}, a AS (SELECT path, hash, size FROM f WHERE id % 3 <> 0), b AS (SELECT path, CASE WHEN id % 7 = 0 THEN 'other' ELSE hash END AS hash, CASE WHEN id % 11 = 0 THEN 0 ELSE size END AS size FROM f WHERE id % 3 <> 1)
     SELECT path, d AS difference FROM (SELECT path, CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'extra' WHEN a.hash <> b.hash THEN 'hash' WHEN a.size <> b.size THEN 'size' END AS d FROM a FULL JOIN b USING (path)) WHERE d IS NOT NULL""")
-def compare_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compare_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
     second = files.where("id % 3 <> 1").withColumn("hash", F.when(F.col("id") % 7 == 0, "other").otherwise(F.col("hash"))).withColumn("size", F.when(F.col("id") % 11 == 0, 0).otherwise(F.col("size")))
     return verify.compare_trees(files.where("id % 3 <> 0"), second, ["hash", "size"])
@@ -490,3 +490,6 @@ def stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     extract_stream(stream, needed, "event_id", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return extracted(spark, f"{folder}/out", needed, "event_id").select("event_id", "user_id", "event_type")
 
+
+
+from . import archive_queries  # noqa: E402, F401 - registers its queries

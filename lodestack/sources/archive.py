@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import filetime_of_parts
 from . import codecs
 
 #: Fixed values of the on-disk format.
@@ -27,6 +28,7 @@ _HEADER = struct.Struct("<8sIIII16sHHI24s24s24sI24s60x")
 _BLOB = struct.Struct("<24sHI20s")
 _ENTRY = struct.Struct("<QIIQQQQQQ20sIQHHH")
 _STREAM = struct.Struct("<QQ20sH")
+_SOLID = struct.Struct("<QII")
 
 HEADER = "version long, flags long, chunk_size long, guid string, part_number int, total_parts int, image_count int, boot_index int, is_pipable boolean"
 BLOBS = "entry_no int, part_number int, refcnt long, hash binary, size long, offset long, size_in_archive long, flags int, resource_no int"
@@ -70,20 +72,52 @@ def parse_header(data: bytes) -> dict:
     }
 
 
-def stored_bytes(data: bytes, where: tuple[int, int, int, int], header: dict | None = None) -> bytes:
-    """Bytes of a resource; a compressed one needs the header, which tells how."""
+def compression_of(header: dict) -> int:
+    """The header flag of the archive's compression type; 0 for none."""
+    return next((f for f in (codecs.XPRESS_FLAG, codecs.LZX_FLAG, codecs.LZMS_FLAG) if header["flags"] & f), 0)
+
+
+def stored_bytes(data: bytes, where: tuple[int, int, int, int], header: dict | None = None, first: int = 0, end: int | None = None) -> bytes:
+    """Bytes ``first`` to ``end`` of a resource; a compressed one needs the header, which tells how. Of a compressed one only
+    the chunks that the range needs are decoded."""
     flags, stored, offset, size = where
     if offset + stored > len(data):
         raise BadArchive("the resource lies outside the file")
-    if flags & SOLID or flags & COMPRESSED and not (header and header["flags"] & codecs.XPRESS_FLAG and header["chunk_size"]):
-        raise BadArchive("the resource is compressed in a way that isn't read here")
+    if flags & SOLID:
+        raise BadArchive("a blob of a solid resource is read through the resource")
     if flags & COMPRESSED:
-        if size > stored * 512:
+        if not header or not compression_of(header) or not header["chunk_size"]:
+            raise BadArchive("the resource is compressed, but the archive isn't")
+        if size > stored * 4096:
             raise BadArchive("the resource can't be that large")
-        return codecs.read_chunked(data[offset : offset + stored], size, header["chunk_size"])
+        return codecs.read_chunked(data[offset : offset + stored], size, header["chunk_size"], compression_of(header), first, end)
     if stored != size:
         raise BadArchive("the sizes of the resource differ")
-    return data[offset : offset + size]
+    return data[offset + first : offset + (size if end is None else min(end, size))]
+
+
+def solid_bytes(data: bytes, at: int, stored: int, first: int = 0, end: int | None = None) -> bytes:
+    """Bytes of a solid resource at ``at``: its own header tells full size, chunk size and compression type."""
+    size, chunk, number = _SOLID.unpack_from(data, at)
+    if at + stored > len(data) or not chunk:
+        raise BadArchive("the resource lies outside the file")
+    kinds = (0, codecs.XPRESS_FLAG, codecs.LZX_FLAG, codecs.LZMS_FLAG)
+    if number >= len(kinds):
+        raise BadArchive("unknown compression type")
+    body = data[at + _SOLID.size : at + stored]
+    return codecs.read_chunked(body, size, chunk, kinds[number], first, end, lengths_only=True) if number else body[first:end]
+
+
+def blob_bytes(data: bytes, header: dict, row: tuple, first: int = 0, end: int | None = None) -> bytes:
+    """Bytes ``first`` to ``end`` of the blob that a row of ``parse_blobs`` stands for."""
+    _, _, _, _, size, offset, stored, flags, number = row
+    if not flags & SOLID:
+        return stored_bytes(data, (flags, stored, offset, size), header, first, end)
+    if number < 0 or offset < 0:
+        raise BadArchive("no solid resource has the blob")
+    raw = _BLOB.unpack_from(stored_bytes(data, header["blobs"]), number * _BLOB.size)[0]
+    _, whole, at, _ = resource(raw)
+    return solid_bytes(data, at, whole, offset + first, offset + (size if end is None else min(end, size)))
 
 
 def parse_blobs(data: bytes, header: dict) -> list[tuple]:
@@ -241,10 +275,10 @@ def _entries(data: bytes, header: dict) -> Iterator[tuple]:
 
 
 def _contents(data: bytes, header: dict) -> Iterator[tuple]:
-    for _, _, _, digest, size, offset, stored, flags, _ in parse_blobs(data, header):
-        if not flags & METADATA:
-            content = stored_bytes(data, (flags, stored, offset, size), header)
-            yield digest, size, content, hashlib.sha1(content).digest() == digest
+    for row in parse_blobs(data, header):
+        if not row[7] & METADATA:
+            content = blob_bytes(data, header, row)
+            yield row[3], row[4], content, hashlib.sha1(content).digest() == row[3]
 
 
 _TABLES: dict[str, tuple[str, Callable[[bytes, dict], object]]] = {
@@ -269,8 +303,9 @@ def columns_of(schema: str) -> list[str]:
     return out
 
 
-def read_archives(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table of the archives at ``path``: header, blobs, contents, entries, integrity or xml, with the file as ``archive``."""
+def parse_archives(files: DataFrame, table: str) -> DataFrame:
+    """A table of archives given as rows (path, content): header, blobs, contents, entries, integrity or xml, with the path
+    as ``archive``."""
     schema, parse = _TABLES[table]
     names = ["archive", *columns_of(schema)]
 
@@ -281,20 +316,52 @@ def read_archives(spark: SparkSession, path: str, table: str) -> DataFrame:
                 frame = pd.DataFrame(rows, columns=names)
                 yield frame.astype({"reparse_tag": "Int64"}) if table == "entries" else frame
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"archive string, {schema}")
+    return files.select("path", "content").mapInPandas(run, f"archive string, {schema}")
 
 
-def image_properties(xml: DataFrame) -> DataFrame:
-    """Images of an XML document: image_index, name, and counts; from column xml."""
-    n = F.size(F.xpath("xml", F.lit("/WIM/IMAGE/@INDEX")))
-    each = xml.select("*", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))).alias("i"))
-    item = lambda tag: _item("xml", f"/WIM/IMAGE/{tag}", "i")
-    number = lambda tag: item(tag).cast("long")
-    return each.select(*xml.columns, F.get(F.xpath("xml", F.lit("/WIM/IMAGE/@INDEX")), F.col("i") - 1).cast("int").alias("image_index"), item("NAME/text()").alias("name"), number("DIRCOUNT/text()").alias("dir_count"), number("FILECOUNT/text()").alias("file_count"), number("TOTALBYTES/text()").alias("total_bytes"), number("HARDLINKBYTES/text()").alias("hard_link_bytes"))
+def read_archives(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table (see ``parse_archives``) of the archives at ``path``."""
+    return parse_archives(spark.read.format("binaryFile").load(path), table)
+
 
+def read_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Bytes of blobs: for ranges (path, hash, first, end) of archives (path, content) the rows with ``bytes``; only the chunks
+    that a range needs are decoded. Ranges of a blob that an archive lacks give no row."""
 
-def _item(xml: str, path: str, i: str) -> Column:
-    return F.get(F.xpath(xml, F.lit(path)), F.col(i) - 1)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, data, wanted in zip(batch["path"], batch["content"], batch["wanted"], strict=True):
+                header = parse_header(data)
+                rows = {r[3]: r for r in parse_blobs(data, header)}
+                out += [(name, w["hash"], w["first"], w["end"], blob_bytes(data, header, rows[w["hash"]], w["first"], w["end"])) for w in wanted if w["hash"] in rows]
+            yield pd.DataFrame(out, columns=["path", "hash", "first", "end", "bytes"])
+
+    wanted = ranges.groupBy("path").agg(F.collect_list(F.struct("hash", "first", "end")).alias("wanted"))
+    joined = files.select("path", "content").join(wanted, "path")
+    return joined.mapInPandas(run, "path string, hash binary, first long, end long, bytes binary")
+
+
+def image_properties(xml: DataFrame) -> DataFrame:
+    """Images of an XML document (column xml): image_index, name, description, flags, counts, and times in ticks; an item that an
+    image lacks is null."""
+    each = xml.select("*", F.explode(F.regexp_extract_all("xml", F.lit("(?s)<IMAGE\\b.*?</IMAGE>"), 0)).alias("image"))
+    item = lambda tag: F.nullif(F.xpath_string("image", F.lit(f"/IMAGE/{tag}")), F.lit(""))
+    number = lambda tag: item(tag).cast("long")
+    time = lambda tag: filetime_of_parts(item(f"{tag}/HIGHPART"), item(f"{tag}/LOWPART"))
+    return each.select(
+        *xml.columns,
+        item("@INDEX").cast("int").alias("image_index"),
+        item("NAME").alias("name"),
+        item("DESCRIPTION").alias("description"),
+        item("FLAGS").alias("flags"),
+        number("DIRCOUNT").alias("dir_count"),
+        number("FILECOUNT").alias("file_count"),
+        number("TOTALBYTES").alias("total_bytes"),
+        number("HARDLINKBYTES").alias("hard_link_bytes"),
+        time("CREATIONTIME").alias("created"),
+        time("LASTMODIFICATIONTIME").alias("modified"),
+    )
 
 
 # --- writing
@@ -356,14 +423,15 @@ def build_xml(images: list[dict], total_bytes: int | None = None) -> str:
     return f"<WIM>{total}{inner}</WIM>"
 
 
-def build_archive(images: list[tuple[dict, list[dict], list[bytes]]], contents: list[bytes], chunk: int = INTEGRITY_CHUNK, guid: bytes | None = None, boot_index: int = 0, compress_chunk: int = 0) -> bytes:
+def build_archive(images: list[tuple[dict, list[dict], list[bytes]]], contents: list[bytes], chunk: int = INTEGRITY_CHUNK, guid: bytes | None = None, boot_index: int = 0, compress_chunk: int = 0, kind: int = codecs.XPRESS_FLAG, solid: bool = False) -> bytes:
     """An archive: images as (properties, entries, descriptors), and the files' contents, each stored once.
 
-    With ``compress_chunk`` contents and metadata are compressed in chunks of that size where it makes them smaller.
+    With ``compress_chunk`` contents and metadata are compressed in chunks of that size where it makes them smaller, by the
+    type that the header flag ``kind`` stands for. With ``solid`` all contents are one resource.
     """
 
     def packed(content: bytes) -> tuple[int, bytes]:
-        small = codecs.write_chunked(content, compress_chunk) if compress_chunk else content
+        small = codecs.write_chunked(content, compress_chunk, kind) if compress_chunk else content
         return (COMPRESSED, small) if len(small) < len(content) else (0, content)
 
     out, table = [bytes(HEADER_SIZE)], []
@@ -374,7 +442,20 @@ def build_archive(images: list[tuple[dict, list[dict], list[bytes]]], contents:
             for _, _, digest in e.get("streams") or []:
                 if digest:
                     uses[digest] = uses.get(digest, 0) + 1
-    for content in dict.fromkeys(c for c in contents if c):
+    once = list(dict.fromkeys(c for c in contents if c))
+    if solid and once:
+        whole, inside = b"".join(once), 0
+        body = codecs.write_chunked(whole, compress_chunk, kind, lengths_only=True) if compress_chunk else whole
+        stored = _SOLID.pack(len(whole), compress_chunk or len(whole), (codecs.XPRESS_FLAG, codecs.LZX_FLAG).index(kind) + 1 if compress_chunk else 0) + body
+        table.append(_BLOB.pack(pack_resource(SOLID, len(stored), at, SOLID_MARK), 1, 1, bytes(20)))
+        out.append(stored)
+        at += len(stored)
+        for content in once:
+            digest = hashlib.sha1(content).digest()
+            table.append(_BLOB.pack(pack_resource(SOLID, len(content), inside, 0), 1, uses.get(digest, 0), digest))
+            inside += len(content)
+        once = []
+    for content in once:
         digest = hashlib.sha1(content).digest()
         how, stored = packed(content)
         table.append(_BLOB.pack(pack_resource(how, len(stored), at, len(content)), 1, uses.get(digest, 0), digest))
@@ -397,11 +478,35 @@ def build_archive(images: list[tuple[dict, list[dict], list[bytes]]], contents:
     sums = [hashlib.sha1(body[i : i + chunk]).digest() for i in range(0, len(body), chunk)]
     integrity = struct.pack("<III", 12 + 20 * len(sums), len(sums), chunk) + b"".join(sums)
     where_integrity = pack_resource(0, len(integrity), at, len(integrity))
-    flags = codecs.COMPRESSED_FLAG | codecs.XPRESS_FLAG if compress_chunk else 0
+    flags = codecs.COMPRESSED_FLAG | kind if compress_chunk else 0
     header = _HEADER.pack(MAGIC, HEADER_SIZE, VERSIONS[0], flags, compress_chunk, guid or uuid.uuid4().bytes, 1, 1, len(images), where_blobs, where_xml, bytes(24), boot_index, where_integrity)
     return header + body + xml + integrity
 
 
+def build_archives(files: DataFrame, compress_chunk: int = 0, kind: int = codecs.XPRESS_FLAG, solid: bool = False, boot_index: int = 0) -> DataFrame:
+    """Archives (path, content) of files (archive, image_index, image_name, path, content): one per ``archive``, with an image for
+    each image_index, numbered anew from 1 in their order, and the directories that the paths imply.
+
+    An archive is one file, so that one task makes it; all of its contents are in memory there.
+    """
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        images = []
+        for _, part in rows.sort_values(["image_index", "path"]).groupby("image_index", sort=True):
+            entries = {"/": {"path": "/", "attributes": DIRECTORY}}
+            for path, content in zip(part["path"], part["content"], strict=True):
+                above = path.split("/")[1:-1]
+                for n in range(1, len(above) + 1):
+                    entries.setdefault("/" + "/".join(above[:n]), {"path": "/" + "/".join(above[:n]), "attributes": DIRECTORY})
+                entries[path] = {"path": path, "attributes": 0x80, "streams": [(0, None, hashlib.sha1(content).digest() if content else None)]}
+            n_dirs = sum(e["attributes"] & DIRECTORY > 0 for e in entries.values()) - 1
+            images.append(({"NAME": part["image_name"].iloc[0], "DIRCOUNT": n_dirs, "FILECOUNT": len(part)}, list(entries.values()), []))
+        made = build_archive(images, [bytes(c) for c in rows["content"]], compress_chunk=compress_chunk, kind=kind, solid=solid, boot_index=boot_index)
+        return pd.DataFrame({"path": [rows["archive"].iloc[0]], "content": [made]})
+
+    return files.select("archive", "image_index", "image_name", "path", "content").groupBy("archive").applyInPandas(build, "path string, content binary")
+
+
 # --- programs
 
 

@@ -89,8 +89,8 @@ def decompress(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
-def code_lengths(counts: Counter) -> list[int]:
-    """Lengths of a Huffman code of at most 15 bits; counts are flattened until it fits."""
+def code_lengths(counts: dict[int, int], symbols: int = SYMBOLS, longest: int = LONGEST_CODE) -> list[int]:
+    """Lengths of a Huffman code of at most ``longest`` bits; counts are flattened until it fits."""
     counts = {s: n for s, n in counts.items() if n}
     for s in range(2):  # a code needs two symbols
         if len(counts) < 2:
@@ -103,8 +103,8 @@ def code_lengths(counts: Counter) -> list[int]:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
             depth.update(a[2] + b[2])
             heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= LONGEST_CODE:
-            return [depth.get(s, 0) for s in range(SYMBOLS)]
+        if max(depth.values()) <= longest:
+            return [depth.get(s, 0) for s in range(symbols)]
         counts = {s: n // 2 + 1 for s, n in counts.items()}
 
 
@@ -159,25 +159,72 @@ def compress(data: bytes) -> bytes:
     return bytes(out)
 
 
-def read_chunked(stored: bytes, size: int, chunk: int) -> bytes:
-    """A compressed resource: a table of chunk offsets, then the chunks; one that didn't shrink is stored as it is."""
+def decompress_chunk(kind: int, data: bytes, size: int, chunk: int) -> bytes:
+    """A chunk by the header flag of its compression type."""
+    if kind == XPRESS_FLAG:
+        return decompress(data, size)
+    if kind == LZX_FLAG:
+        from . import lzx
+
+        return lzx.decompress(data, size, chunk)
+    raise BadData("the chunk is compressed in a way that isn't read here")
+
+
+def compress_chunk(kind: int, data: bytes, chunk: int) -> bytes:
+    if kind == LZX_FLAG:
+        from . import lzx
+
+        return lzx.compress(data, chunk)
+    return compress(data)
+
+
+def _chunk_places(stored: bytes, size: int, chunk: int, lengths_only: bool) -> list[tuple[int, int]]:
+    """Where in ``stored`` each chunk begins and ends. The table before the chunks tells where all but the first begin, or,
+    in solid resources, how long each is."""
     n = -(-size // chunk)
-    width, kind = (8, "Q") if size > 0xFFFFFFFF else (4, "I")
-    head = width * (n - 1)
-    starts = [0, *struct.unpack_from(f"<{n - 1}{kind}", stored)]
-    ends = [*starts[1:], len(stored) - head]
-    out = []
-    for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+    if lengths_only:
+        ends, at = [], 4 * n
+        for length in struct.unpack_from(f"<{n}I", stored):
+            at += length
+            ends.append(at)
+        places = list(zip([4 * n, *ends], ends, strict=False))
+    else:
+        width, kind = (8, "Q") if size > 0xFFFFFFFF else (4, "I")
+        head = width * (n - 1)
+        starts = [head, *(head + x for x in struct.unpack_from(f"<{n - 1}{kind}", stored))]
+        places = list(zip(starts, [*starts[1:], len(stored)], strict=True))
+    if any(not 0 <= a <= b <= len(stored) for a, b in places):
+        raise BadData("bad table of chunks")
+    return places
+
+
+def read_chunked(stored: bytes, size: int, chunk: int, kind: int = XPRESS_FLAG, first: int = 0, end: int | None = None, lengths_only: bool = False) -> bytes:
+    """Bytes ``first`` to ``end`` (all by default) of a compressed resource; only the chunks that they lie in are decoded.
+
+    A resource is a table of chunks and the chunks; one that didn't shrink is stored as it is.
+    """
+    end = size if end is None else min(end, size)
+    if not 0 <= first <= end:
+        raise BadData("the range lies outside the resource")
+    if first == end:
+        return b""
+    places, out = _chunk_places(stored, size, chunk, lengths_only), []
+    for i in range(first // chunk, (end - 1) // chunk + 1):
+        a, b = places[i]
         full = min(chunk, size - i * chunk)
-        if not 0 <= a <= b <= len(stored) - head:
-            raise BadData("bad table of chunks")
-        part = stored[head + a : head + b]
-        out.append(part if len(part) == full else decompress(part, full))
-    return b"".join(out)
+        out.append(stored[a:b] if b - a == full else decompress_chunk(kind, stored[a:b], full, chunk))
+    skip = first // chunk * chunk
+    return b"".join(out)[first - skip : end - skip]
 
 
-def write_chunked(data: bytes, chunk: int) -> bytes:
+def write_chunked(data: bytes, chunk: int, kind: int = XPRESS_FLAG, lengths_only: bool = False) -> bytes:
+    """A compressed resource of ``data``; the inverse of ``read_chunked``."""
     parts = [data[i : i + chunk] for i in range(0, len(data), chunk)]
-    packed = [c if len(c := compress(p)) < len(p) else p for p in parts]
-    starts = [sum(map(len, packed[:i])) for i in range(1, len(packed))]
+    packed = [c if len(c := compress_chunk(kind, p, chunk)) < len(p) else p for p in parts]
+    if lengths_only:
+        return struct.pack(f"<{len(packed)}I", *map(len, packed)) + b"".join(packed)
+    starts, at = [], 0
+    for p in packed[:-1]:
+        at += len(p)
+        starts.append(at)
     return struct.pack(f"<{len(starts)}{'Q' if len(data) > 0xFFFFFFFF else 'I'}", *starts) + b"".join(packed)

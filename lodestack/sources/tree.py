@@ -23,6 +23,13 @@ def empty_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
     return out
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as the store names it, which is how the paths below it begin."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(where).toString().rstrip("/")
+
+
 def scan_tree(spark: SparkSession, root: str, exclude: list[str] | None = None, exceptions: list[str] | None = None, with_content: bool = True) -> DataFrame:
     """Files below ``root`` in any store: path, size, written, created, attributes, hash, content. An empty file has no hash.
 
@@ -32,8 +39,8 @@ def scan_tree(spark: SparkSession, root: str, exclude: list[str] | None = None,
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     nothing = spark.createDataFrame(empty_files(spark, root), "path string, millis long")
     files = files.unionByName(nothing.select("path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
-    base = root.rstrip("/")
-    inner = F.substring_index(F.col("path"), base, -1)
+    base = _qualified(spark, root)
+    inner = F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))
     named = files.withColumn("path", canonical_path(inner)).where(~excluded(F.col("path"), exclude or [], exceptions or []))
     written = filetime_of(F.col("modificationTime"))
     out = named.select("path", F.col("length").alias("size"), written.alias("written"), written.alias("created"), F.lit(ATTRIBUTES["normal"]).cast("long").alias("attributes"), F.when(F.col("length") > 0, F.sha1("content")).alias("hash"), "content")
@@ -60,6 +67,10 @@ def write_tree(entries: DataFrame, root: str) -> None:
     Each file is written under a temporary name and renamed, so that a task that runs again does no harm.
     """
     import os
+    from urllib.parse import urlsplit
+
+    if root.startswith("file:"):
+        root = urlsplit(root).path
 
     def write(rows) -> None:
         for r in rows:
