@@ -1,7 +1,10 @@
 """The pipeline's stages on small tables."""
 
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -41,6 +44,87 @@ def test_stages(spark, folder):
     assert seen["packing"].length.sum() >= seen["mix_sources"].text.fillna("").str.split().str.len().sum()
 
 
+def shingles(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+    return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def groups_of(rows, alike):
+    """Rows in groups that hang together by ``alike``."""
+    groups = []
+    for row in rows:
+        near = [g for g in groups if any(alike(row, other) for other in g)]
+        groups = [g for g in groups if g not in near] + [[row, *(x for g in near for x in g)]]
+    return groups
+
+
+def test_stages_by_brute_force(spark, folder):
+    """Every stage's result from its own input, made again by comparing all with all."""
+    from lodestack.llm import mixing, packing, quality
+
+    docs, rows = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    inputs = {}
+    for name, stage in corpus_pipeline.STAGES:
+        inputs[name] = docs.collect()
+        docs = corpus_pipeline.materialise(stage(spark, docs, folder), name)
+        rows[name] = docs.collect()
+    facts = lambda found: sorted((r.doc_id is not None, r.doc_id or 0, r.text or "", r.source or "") for r in found)
+
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    good = {(r.doc_id, r.score >= 0.5) for r in quality.classify(spark.read.parquet(f"{folder}/documents.parquet"), labels).collect()}
+    assert facts(rows["quality_classifier"]) == facts([r for r in inputs["quality_classifier"] if (r.doc_id, True) in good])
+
+    by_text = {}
+    for r in inputs["exact_dedup"]:
+        by_text.setdefault(r.text or "", []).append(r)
+    assert facts(rows["exact_dedup"]) == facts([min(g, key=lambda r: r.doc_id) for g in by_text.values()])
+
+    sets = {(r.doc_id, r.text): shingles(r.text) for r in inputs["simhash_near_dedup"]}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    near = groups_of(inputs["simhash_near_dedup"], lambda x, y: jaccard(sets[x.doc_id, x.text], sets[y.doc_id, y.text]) >= 0.8)
+    assert facts(rows["simhash_near_dedup"]) == facts([min(g, key=lambda r: r.doc_id) for g in near])
+
+    size = lambda r: len((r.text or "").split())
+    own, taken, copies = Counter(), Counter(), Counter(r.doc_id for r in rows["mix_sources"])
+    for r in inputs["mix_sources"]:
+        own[r.source] += size(r)
+        taken[r.source] += size(r) * copies[r.doc_id]
+    order = [*sorted(s for s in own if s is not None), *([None] if None in own else [])]
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}
+    low, high = 0.0, float(sum(own.values()))  # the share of weight 1 that meets all words, by bisection
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(min(3 * own[s], middle * weight[s]) for s in own) < sum(own.values()) else (low, middle)
+    for s in own:
+        target = min(3 * own[s], high * weight[s])
+        passes = min(3, int(target // own[s])) if own[s] else 0
+        sums = 1
+        for r in inputs["mix_sources"]:
+            sums |= sums << size(r) if r.source == s else 0
+        budget = round(target) - passes * own[s] if passes < 3 else 0
+        nearest = min((x for x in range(sums.bit_length()) if sums >> x & 1), key=lambda x: abs(x - budget))
+        assert abs(taken[s] - passes * own[s] - budget) == abs(nearest - budget)
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    want = Counter()
+    for r in inputs["packing"]:
+        ids = np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        for a in range(0, len(ids), 4 * 4096):
+            want[r.doc_id, a // 4, zlib.crc32(ids[a : a + 4 * 4096]), len(ids) // 4] += 1
+    assert Counter((r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in rows["packing"]) == want
+    places = {}
+    for r in rows["packing"]:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in places.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert {"doc_id", "sequence_id", "offset"} <= set(got.columns) and len(got)
