@@ -30,6 +30,8 @@ FIRST_CAPTURE = 1_700_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a record in a gzip member, at most; below 16 MB.
 MEMBER_BYTES = (1 << 24) - 1
+#: Bytes of an archive that are looked at at once, compression level.
+WINDOW, LEVEL = 1 << 16, 4
 CAPTURE = "archive string, offset long, length long, page_id {kind}, url string, url_key string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to {kind}, intact boolean"
 
 
@@ -88,7 +90,7 @@ def gzip_members(record: bytes) -> bytes:
     """A record as gzip members, of which the last has less than 16 MB and so ends with a zero byte."""
     out = []
     for at in range(0, len(record) or 1, MEMBER_BYTES):
-        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         out += [packer.compress(record[at : at + MEMBER_BYTES]), packer.flush()]
     return b"".join(out)
 
@@ -122,9 +124,11 @@ def members_of(content: bytes) -> Iterator[tuple[int, int, bytes]]:
         if content[at : at + 2] != b"\x1f\x8b":
             part, end = content[at:], len(content)
         else:
-            member = zlib.decompressobj(31)
-            part = member.decompress(view[at:]) + member.flush()
-            end = len(content) - len(member.unused_data)
+            member, pieces, end = zlib.decompressobj(31), [], at
+            while not member.eof and end < len(content):  # a window at a time, since what isn't used is copied
+                pieces.append(member.decompress(view[end : end + WINDOW]))
+                end = min(len(content), end + WINDOW)
+            part, end = b"".join([*pieces, member.flush()]), end - len(member.unused_data)
         if parts and part.startswith(b"WARC/"):
             yield offset, at - offset, b"".join(parts)
             parts, offset = [], at
