@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import materialise, new_path, shared_dir
+from ..plans.durable import materialise, new_path, remove, shared_dir
 
-__all__ = ["WORD_SPLIT", "id_and_text", "materialise", "new_path", "shared_dir", "spread_rank", "text_or_empty", "uniform"]
+__all__ = ["WORD_SPLIT", "id_and_text", "materialise", "new_path", "scratch", "shared_dir", "spread_rank", "text_or_empty", "uniform"]
 
 #: Words are runs of anything but ASCII white space.
 WORD_SPLIT = "[ \\x09-\\x0D]+"
 
 
+def scratch(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as ``materialise`` gives it, and a function that deletes its table, for once all made from it is written."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), partial(remove, spark, path)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -1,4 +1,4 @@
-"""All pairs of texts whose shingle sets have at least a given Jaccard similarity.
+"""All pairs of texts whose shingle sets have at least a given Jaccard similarity, but for those that known links join.
 
 An exact join by prefixes: with all shingles in one order, two sets of similarity t or more share one among the first
 ``n - ceil(t n) + 1`` of each (n: shingles of the set). The order only decides how many pairs come up, never which are
@@ -12,7 +12,7 @@ joins need no further pair; all pairs between texts not joined yet are compared,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 from .components import connected_components
 
 #: Texts that share a shingle are compared in pairs at once up to this many.
@@ -64,16 +64,18 @@ def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
     return np.array([r["shingle"] for r in reversed(found)], np.int64)
 
 
-def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """text_key, node (one for each distinct set), size and prefix (in order) of every row of ``texts`` (text_key, text)."""
+def prefixes(texts: DataFrame, words: int, similarity: float, fingerprint: Callable[[str], np.ndarray]) -> DataFrame:
+    """text_key, fp (the first of its fingerprints), node (one for each distinct set), size and prefix (in order) of every
+    row of ``texts`` (text_key, text)."""
     common = common_shingles(texts, words)
     place = np.argsort(common)
     ordered = common[place]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
+            fps, nodes, sizes, firsts = [], [], [], []
             for text in batch["text"]:
+                fps.append(int(fingerprint(text)[0]))
                 own = shingle_set(text, words)
                 at = np.full(len(own), -1)
                 if len(ordered):
@@ -83,9 +85,9 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
                 nodes.append(_key(own))
                 sizes.append(len(own))
                 firsts.append(own[np.argsort(at, kind="stable")[:keep]])
-            yield pd.DataFrame({"text_key": batch["text_key"], "node": nodes, "size": sizes, "prefix": firsts})
+            yield pd.DataFrame({"text_key": batch["text_key"], "fp": fps, "node": nodes, "size": sizes, "prefix": firsts})
 
-    return texts.mapInPandas(run, "text_key long, node long, size int, prefix array<long>")
+    return texts.mapInPandas(run, "text_key long, fp long, node long, size int, prefix array<long>")
 
 
 def whole_sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -96,19 +98,23 @@ def whole_sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(t, words) for t in batch["text"]]
             yield pd.DataFrame({"node": [_key(s) for s in sets], "shingles": sets})
 
-    wanted = texts.join(nodes.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    keys = materialise(nodes.select("text_key"), "shingle-keys")
+    wanted = texts.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
     return wanted.select("text").mapInPandas(run, "node long, shingles array<long>")
 
 
 def similar_pairs(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar by their whole sets."""
-    pairs = materialise(pairs.distinct(), "shingle-pairs")
+    pairs, drop_pairs = scratch(pairs.distinct(), "shingle-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialise(whole_sets(texts, nodes.join(wanted, "node", "left_semi"), words), "shingle-sets")
+    sets, drop_sets = scratch(whole_sets(texts, nodes.join(wanted, "node", "left_semi"), words), "shingle-sets")
     own = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}"))
     both = pairs.join(own("b"), "b").join(own("a"), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return materialise(both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b"), "shingle-links")
+    links = materialise(both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b"), "shingle-links")
+    drop_pairs()
+    drop_sets()
+    return links
 
 
 def _possible(x: str, y: str, similarity: float):
@@ -121,25 +127,31 @@ def _pair(x: str = "x", y: str = "y") -> list:
     return [F.least(F.col(f"{x}.node"), F.col(f"{y}.node")).alias("a"), F.greatest(F.col(f"{x}.node"), F.col(f"{y}.node")).alias("b")]
 
 
-def similar_links(texts: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between nodes of ``found`` (see ``prefixes``): enough of them to join all that are as similar as
-    ``similarity``, and none between others."""
-    nodes = materialise(found.groupBy("node").agg(F.min(F.struct("text_key", "size", "prefix")).alias("s")).select("node", "s.*"), "shingle-nodes")
+def distinct_sets(found: DataFrame) -> DataFrame:
+    """One row of ``found`` (see ``prefixes``) for each node."""
+    return materialise(found.groupBy("node").agg(F.min(F.struct("text_key", "size", "prefix")).alias("s")).select("node", "s.*"), "shingle-nodes")
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, known: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between ``nodes`` (see ``distinct_sets``): with those of ``known``, which are as similar as
+    ``similarity``, enough of them to join all that are, and none between others. What ``known`` joins isn't compared again."""
     rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = materialise(rows.join(counts, "shingle"), "shingle-rows")
+    rows = rows.join(counts, "shingle").join(connected_components(known), "node", "left")
+    rows = materialise(rows.withColumn("root", F.coalesce("root", "node")), "shingle-rows")
     few, many = rows.where(F.col("n") <= PAIRED), rows.where(F.col("n") > PAIRED)
     x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & _possible("x", "y", similarity)).select(*_pair())
+    apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+    pairs = x.join(y, apart & (F.col("x.node") < F.col("y.node")) & _possible("x", "y", similarity)).select(*_pair())
     weights = many.groupBy("node").agg(F.sum("n").alias("weight"))
-    first = F.max(F.struct("weight", "node", "size", "pos")).alias("first")
+    first = F.max(F.struct("weight", "node", "root", "size", "pos")).alias("first")
     centres = many.join(weights, "node").groupBy("shingle").agg(first).select("shingle", "first.*")
     x, y = many.alias("x"), centres.alias("y")
-    centred = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") != F.col("y.node")) & _possible("x", "y", similarity)).select(*_pair())
+    centred = x.join(y, apart & _possible("x", "y", similarity)).select(*_pair())
     links = similar_pairs(texts, nodes, pairs.unionByName(centred), words, similarity)
     if many.isEmpty():
         return links
-    rooted = many.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = many.drop("root").join(connected_components(links.unionByName(known)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialise(rooted, "shingle-rooted")
     parts = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("part"))
     largest = parts.groupBy("shingle").agg(F.max(F.struct("part", "root"))["root"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")

@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, text_or_empty
+from .common import id_and_text, materialise, scratch, text_or_empty
 from .components import connected_components
-from .shingle_join import prefixes
+from .shingle_join import distinct_sets, prefixes, similar_pairs
 from .shingle_join import similar_links as shingle_links
 
 #: Production parameters: words in a shingle, differing bits of a link, pivots, hash seed.
@@ -118,7 +118,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, bloc
     tables = pivot_tables(F.col("fp"), pivots)
     rows = nodes.select("fp", F.posexplode(keys).alias("choice", "block_key"))
     counts = rows.groupBy("choice", "block_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = materialise(rows.join(counts, ["choice", "block_key"]), "simhash-blocks")
+    # Spark takes the exploded rows for as small as their table and would broadcast them.
+    rows = materialise(rows.join(counts.hint("merge"), ["choice", "block_key"]), "simhash-blocks")
     few = rows.where(F.col("n") <= PAIRED).select("*", *(t.alias(f"pivots{i}") for i, t in enumerate(tables)))
     a, b = few.alias("a"), few.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
@@ -156,14 +157,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fingerprint_pairs(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of ``found`` (fp, node): enough of them to join all whose fingerprints are within ``MAX_BITS``."""
+    named = found.select("fp", "node").distinct()
+    nodes = materialise(named.groupBy("fp").agg(F.min("node").alias("first")), "simhash-nodes")
+    own = lambda side: nodes.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
+    between = links(nodes.select("fp")).join(own("a"), "a").join(own("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    within = named.join(nodes, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return between.unionByName(within).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def similar_groups(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """doc_id, text_key (hash of the text), root (one for each group), one row per distinct id and text: groups hang together
-    by pairs whose shingle sets have at least that Jaccard ``similarity``. Texts without words are one group."""
-    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
-    found = materialise(prefixes(texts.select("text_key", "text"), words, similarity), "shingle-prefixes")
-    roots = connected_components(shingle_links(texts.select("text_key", "text"), found, words, similarity))
-    named = found.select("text_key", "node").distinct().join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
-    return texts.select("doc_id", "text_key").distinct().join(named, "text_key")
+    by pairs whose shingle sets have at least that Jaccard ``similarity``. Texts without words are one group.
+
+    SimHash links that the whole sets confirm make the groups; the join by shingles adds pairs beyond a fingerprint's reach,
+    between texts that no such link has joined.
+    """
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
+    texts = rows.select("text_key", "text")
+    found, drop = scratch(prefixes(texts, words, similarity, fingerprint), "shingle-prefixes")
+    nodes, found = distinct_sets(found), materialise(found.select("text_key", "fp", "node").distinct(), "shingle-texts")
+    drop()
+    near = similar_pairs(texts, nodes, fingerprint_pairs(found), words, similarity)
+    roots = connected_components(near.unionByName(shingle_links(texts, nodes, near, words, similarity)))
+    named = found.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "text_key").distinct().join(named, "text_key")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

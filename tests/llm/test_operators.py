@@ -225,6 +225,31 @@ def test_similar_pairs_are_those_of_brute_force(spark):
     assert len(set(zip(got, brute, strict=True))) == len(set(got)) == len(set(brute))
 
 
+def test_similar_groups_by_fingerprints_alone(spark, monkeypatch):
+    rnd = random.Random(19)
+    same, other, apart = words_of(rnd, 300), words_of(rnd, 300), words_of(rnd, 20)
+    texts = [t for base in (words_of(rnd, 400) for _ in range(20)) for t in (base, edited(rnd, base, 1), edited(rnd, base, 8))]
+    texts += [["again"] * 2000 + t for t in (same, edited(rnd, same, 1), other)] + [apart, [*apart, "more"]]
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    fps = [int(simhash.fingerprint(" ".join(t))[0]) & (1 << 64) - 1 for t in texts]
+    near, alike = ({p for p in pairs if f(*p)} for f in (lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3, lambda i, j: set_jaccard(texts[i], texts[j]) >= 0.8))
+    assert near & alike and near - alike and alike - near
+    docs, whole = docs_of(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)]), simhash.shingle_links
+
+    def same_groups(want, n=len(texts)):
+        found = {r.doc_id: r.root for r in simhash.similar_groups(docs, 5, 0.8).collect()}
+        roots = {r.node: r.root for r in connected_components(spark.createDataFrame(sorted(want), "a long, b long")).collect()}
+        got, brute = [found[i] for i in range(n)], [roots.get(i, i) for i in range(n)]
+        return len(set(zip(got, brute, strict=True))) == len(set(got)) == len(set(brute))
+
+    assert same_groups(alike)
+    known = []
+    monkeypatch.setattr(simhash, "shingle_links", lambda texts, nodes, links, *rest: known.append(links) or links)
+    assert same_groups(near & alike, 60)
+    monkeypatch.setattr(simhash, "shingle_links", lambda texts, nodes, links, *rest: whole(texts, nodes, links, *rest).join(links, ["a", "b"], "left_anti"))
+    assert same_groups(alike) and known[0].count() >= 10
+
+
 def test_keep_first_keeps_texts_that_share_an_id(spark):
     rnd = random.Random(11)
     a, b, c = (words_of(rnd, 200) for _ in range(3))

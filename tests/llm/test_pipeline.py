@@ -125,6 +125,21 @@ def test_stages_by_brute_force(spark, folder):
         assert at <= 4096
 
 
+def test_near_duplicates_come_through_fingerprints(spark, folder, monkeypatch):
+    """Without the join by shingles, SimHash with pivot tables still finds the near copies within its reach."""
+    from lodestack.llm import simhash
+
+    calls, pivots = [], simhash.pivot_tables
+    monkeypatch.setattr(simhash, "pivot_tables", lambda *args: calls.append(args) or pivots(*args))
+    monkeypatch.setattr(simhash, "shingle_links", lambda *args: spark.createDataFrame([], "a long, b long"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 200 or doc_id between 300 and 319")
+    copy_of = {r.doc_id: r.doc_id - 300 for r in docs.where("doc_id >= 300").collect()}
+    fps = {r.doc_id: int(simhash.fingerprint(r.text)[0]) & (1 << 64) - 1 for r in docs.collect()}
+    within = {i for i, j in copy_of.items() if (fps[i] ^ fps[j]).bit_count() <= 3}
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs.dropDuplicates(["doc_id"]), folder).collect()}
+    assert calls and within and kept == set(fps) - within
+
+
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert {"doc_id", "sequence_id", "offset"} <= set(got.columns) and len(got)
