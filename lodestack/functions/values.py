@@ -104,8 +104,11 @@ def number_of(text: Column) -> Column:
 
 
 def shown_size(size: Column) -> Column:
-    """Whole GiB, MiB, KiB or bytes; the unit is the largest of which there are at least ten."""
+    """Whole GiB, MiB, KiB or bytes; the unit is the largest of which there are at least ten. Sizes are whole numbers, decimals
+    of up to 38 digits included."""
+    size = size.cast("decimal(38,0)")
     out = F.concat(size.cast("string"), F.lit(" bytes"))
     for shift, unit in reversed(UNITS):
-        out = F.when(size >= 10 << shift, F.concat(F.shiftright(size, shift).cast("string"), F.lit(f" {unit}"))).otherwise(out)
+        whole = ((size - size % (1 << shift)) / (1 << shift)).cast("decimal(38,0)")  # a quotient with a fraction would be rounded
+        out = F.when(size >= 10 << shift, F.concat(whole.cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out

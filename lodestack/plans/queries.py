@@ -450,7 +450,8 @@ def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE p_size % 5 WHEN 0 THEN 'None' WHEN 1 THEN 'XPRESS' WHEN 2 THEN 'LZX' WHEN 3 THEN 'LZMS' ELSE 'Unknown' END AS compression
     FROM (SELECT *, (p_partkey * p_partkey * p_partkey * p_size)::BIGINT AS x FROM part)""")
 def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_partkey") * F.col("p_partkey") * F.col("p_partkey") * F.col("p_size")
+    key = F.col("p_partkey").cast("decimal(20,0)")  # products go beyond 64 bits from about 600,000 parts on
+    size = key * key * key * F.col("p_size")
     return _table(spark, sf_dir, "part").select("p_partkey", values.shown_size(size).alias("shown"), values.compression_name(F.col("p_size") % 5).alias("compression"))
 
 

@@ -10,6 +10,7 @@ from lodestack.functions import paths, values
 from lodestack.functions.globs import excluded, path_matches
 from lodestack.operators import combine, dedup, layout, select, verify
 from lodestack.plans import durable
+from lodestack.plans.queries import QUERIES
 from lodestack.sources import archive, text, tree
 from lodestack.streaming import extract
 
@@ -45,6 +46,8 @@ def test_names(spark):
 
 def test_values(spark):
     assert one(spark, values.shown_size(F.col("x")), x=10 << 20) == "10 MiB" and one(spark, values.shown_size(F.col("x")), x=10239) == "10239 bytes"
+    beyond = spark.sql("SELECT cast(x AS decimal(38,0)) AS x FROM VALUES ('86400000000000000000'), ('11811160063'), ('10239'), ('-1') AS t(x)")
+    assert [r[0] for r in beyond.select(values.shown_size(F.col("x"))).collect()] == ["80466270446 GiB", "10 GiB", "10239 bytes", "-1 bytes"]
     assert one(spark, values.number_of(F.col("x")), x="12x") == 0 and one(spark, values.number_of(F.col("x")), x="0x1F") == 31
     assert one(spark, values.filetime_of_parts(F.col("h"), F.col("l")), h="0x01D00000", l="0x00000001") == 0x01D0000000000001
     assert one(spark, values.attribute_names(F.col("x")), x=0x411) == ["readonly", "directory", "reparse_point"]
@@ -52,6 +55,13 @@ def test_values(spark):
     assert one(spark, values.language_name(F.col("x")), x=0x409) == "en-US"
 
 
+def test_shown_values_of_many_parts(spark, tmp_path):
+    keys = [0, 1, 590_000, 1_199_999, 100_000_000]
+    spark.createDataFrame([(k, 50 if k else 1) for k in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_partkey: r.shown for r in QUERIES["shown_values"](spark, str(tmp_path)).collect()}
+    assert got == {k: f"{50 * k**3 >> 30} GiB" if k > 1 else f"{50 * k} bytes" for k in keys}
+
+
 EXCLUSIONS = [
     (["/dir"], ["/dir/keep"], False, {"/dir/keep": False, "/dir": False, "/dir/other": True, "/x/dir": False}),
     (["*.log", "tmp"], [], False, {"/a.log": True, "/a.LOG": False, "/tmp/x": True, "/x/tmp/y/z": True, "/tmpx": False}),
