@@ -117,7 +117,7 @@ def tree_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = new_path(spark, "tree/f/tree")
     named = lambda mark, table, key, name: _table(spark, sf_dir, table).select(F.concat(F.lit(mark), F.col(key).cast("string"), F.lit(".txt")).alias("path"), F.encode(name, "UTF-8").alias("content"))
-    tree.write_tree(named("/f/", "supplier", "s_suppkey", "s_name").unionByName(named("/tmp/", "nation", "n_nationkey", "n_name")), root)
+    tree.write_tree(named("/f/", "supplier", "s_suppkey", "s_name").unionByName(named("/tmp/", "nation", "n_nationkey", "n_name")), root, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return tree.scan_tree(spark, root, ["/tmp"]).select("path", "size", "hash")
 
 

@@ -12,15 +12,45 @@ from ..functions.paths import canonical_path
 from ..functions.values import ATTRIBUTES, filetime_of
 
 
+#: Java, compiled by the compiler that Spark has for its own code. ``listFiles`` would ask for the owner of each file, for which
+#: local folders start a process, and calls from Python for each file are slow as well.
+_EMPTY_FILES = """
+StringBuilder out = new StringBuilder();
+java.util.ArrayDeque todo = new java.util.ArrayDeque();
+todo.add(root);
+while (!todo.isEmpty()) {
+    org.apache.hadoop.fs.FileStatus[] found = store.listStatus((org.apache.hadoop.fs.Path) todo.removeLast());
+    for (int i = 0; i < found.length; i++) {
+        if (found[i].isDirectory()) todo.add(found[i].getPath());
+        else if (found[i].getLen() == 0) out.append(found[i].getPath().toString()).append((char) 0).append(found[i].getModificationTime()).append((char) 0);
+    }
+}
+return out.toString();
+"""
+
+
 def empty_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
-    """Paths and times (in milliseconds) of the files without content below ``root``, in any store."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    found, out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
-    while found.hasNext():
-        f = found.next()
-        if f.getLen() == 0:
-            out.append((f.getPath().toString(), f.getModificationTime()))
-    return out
+    """Paths and times (in milliseconds) of the files without content below ``root``, in any store. The driver's JVM goes through
+    the folders, only what is found comes to Python."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def array(kind, *items):
+        out = gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    named = lambda *names: array(jvm.java.lang.Class, *(jvm.org.apache.spark.util.Utils.classForName(n, True, False) for n in names))
+    code = jvm.org.codehaus.janino.ScriptEvaluator()
+    code.setParentClassLoader(jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
+    code.setReturnType(named("java.lang.String")[0])
+    code.setThrownExceptions(named("java.io.IOException"))
+    code.setParameters(array(jvm.java.lang.String, "store", "root"), named("org.apache.hadoop.fs.FileSystem", "org.apache.hadoop.fs.Path"))
+    code.cook(_EMPTY_FILES)
+    found = code.evaluate(array(jvm.java.lang.Object, store, where)).split("\0")[:-1]
+    return [(path, int(millis)) for path, millis in zip(found[::2], found[1::2], strict=True)]
 
 
 def _qualified(spark: SparkSession, root: str) -> str:
@@ -61,10 +91,11 @@ def split_target(entries: DataFrame, max_bytes: int) -> int:
     return max(1, -(-total // max_bytes))
 
 
-def write_tree(entries: DataFrame, root: str) -> None:
+def write_tree(entries: DataFrame, root: str, tasks: int | None = None) -> None:
     """Writes files (path, content) below ``root``: a local or mounted folder that every executor sees.
 
-    Each file is written under a temporary name and renamed, so that a task that runs again does no harm.
+    Each file is written under a temporary name and renamed, so that a task that runs again does no harm. With ``tasks`` the
+    files are dealt out to so many first: small ones take time by their number, and few partitions can hold many.
     """
     import os
     from urllib.parse import urlsplit
@@ -73,14 +104,18 @@ def write_tree(entries: DataFrame, root: str) -> None:
         root = urlsplit(root).path
 
     def write(rows) -> None:
+        made = None
         for r in rows:
             at = os.path.join(root, r["path"].lstrip("/"))
-            os.makedirs(os.path.dirname(at), exist_ok=True)
+            if os.path.dirname(at) != made:
+                made = os.path.dirname(at)
+                os.makedirs(made, exist_ok=True)
             with open(f"{at}.part{os.getpid()}", "wb") as f:
                 f.write(bytes(r["content"] or b""))
             os.replace(f.name, at)
 
-    entries.select("path", "content").foreachPartition(write)
+    files = entries.select("path", "content")
+    (files.repartition(tasks) if tasks else files).foreachPartition(write)
 
 
 def random_tree(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:

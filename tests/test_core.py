@@ -286,6 +286,28 @@ def test_scan_and_write_tree(spark, tmp_path):
     assert (tmp_path / "out/a.txt").read_bytes() == b"1" and (tmp_path / "out/sub/c").exists()
 
 
+def test_empty_files_are_found_in_few_calls(spark, tmp_path, monkeypatch):
+    names = ["d/_hidden", "d/a\nb %20", "top", *(f"d/e/{i}" for i in range(200))]
+    for name in [*names, "d/full"]:
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1" if name == "d/full" else b"")
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    monkeypatch.setattr(client, "send_command", lambda *a, f=client.send_command, **b: calls.append(a) or f(*a, **b))
+    found = dict(tree.empty_files(spark, str(tmp_path)))
+    assert found == {f"file:{tmp_path}/{n}": (tmp_path / n).stat().st_mtime_ns // 1_000_000 for n in names}
+    assert 0 < len(calls) < len(names)
+
+
+def test_written_tree_is_dealt_out(spark, tmp_path):
+    entries = spark.createDataFrame([(f"/d/{i}", f"{i}".encode()) for i in range(40)], "path string, content binary")
+    spark.sparkContext.setJobGroup("written", "")
+    tree.write_tree(entries, f"{tmp_path}/out", 5)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("written")
+    stages = [spark.sparkContext.statusTracker().getStageInfo(s) for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    assert 5 in [s.numTasks for s in stages if s]
+    assert {p.read_bytes() for p in (tmp_path / "out/d").iterdir()} == {f"{i}".encode() for i in range(40)}
+
+
 def test_random_tree_is_a_tree(spark):
     nodes = tree.random_tree(spark, 300, seed=4)
     assert select.materialise_paths(nodes).count() == 300
