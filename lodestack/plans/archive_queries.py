@@ -115,10 +115,10 @@ def tree_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suppliers written as files of a directory tree and scanned again; the nations' files beside them are excluded."""
     from .durable import new_path
 
-    root = new_path(spark, "tree/f/tree")
+    root, tasks = new_path(spark, "tree/f/tree"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = lambda mark, table, key, name: _table(spark, sf_dir, table).select(F.concat(F.lit(mark), F.col(key).cast("string"), F.lit(".txt")).alias("path"), F.encode(name, "UTF-8").alias("content"))
-    tree.write_tree(named("/f/", "supplier", "s_suppkey", "s_name").unionByName(named("/tmp/", "nation", "n_nationkey", "n_name")), root, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return tree.scan_tree(spark, root, ["/tmp"]).select("path", "size", "hash")
+    tree.write_tree(named("/f/", "supplier", "s_suppkey", "s_name").unionByName(named("/tmp/", "nation", "n_nationkey", "n_name")), root, tasks)
+    return tree.scan_tree(spark, root, ["/tmp"]).select("path", "size", "hash").coalesce(tasks)  # a scan has a task for every 32 small files
 
 
 @_query("SELECT r_regionkey AS region, '/' || s_name AS path, s_suppkey AS size FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
